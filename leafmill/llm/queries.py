@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, mixing, substring_dedup
+from . import host_rules, media_archive, mixing, substring_dedup, token_output
 from .common import documents
 
 
@@ -22,10 +22,22 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_output.token_output(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_archive.media_columns(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_host_rules": op4_host_rules,
+    "op6_token_output": op6_token_output,
+    "op8_media_columns": op8_media_columns,
 }
 
 ORACLE_SQL = {
