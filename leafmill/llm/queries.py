@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, media_archive, mixing, substring_dedup, token_output
+from . import host_rules, media_archive, mixing, near_dedup, substring_dedup, token_output
 from .common import documents
 
 
@@ -32,12 +32,17 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_archive.media_columns(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_host_rules": op4_host_rules,
     "op6_token_output": op6_token_output,
     "op8_media_columns": op8_media_columns,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLE_SQL = {
