@@ -31,19 +31,20 @@ _CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?\burl\s*=\s*([^\"'\s>]+)"
 
 
-def _upto(text: Column, ends: str) -> Column:
-    return F.regexp_extract(text, f"^[^{ends}]*", 0)
-
-
 def _lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+_PARTS = r"(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)"  # scheme, host, path, query
+
+
+def _part(url: Column, group: int) -> Column:
+    return F.coalesce(F.regexp_extract(url, _PARTS, group), F.lit(""))
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z folded) and path of a URL; both empty for a null or one without `://`."""
-    at = F.coalesce(F.locate("://", url), F.lit(0))
-    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
-    return _lower(_upto(rest, "/?#")), _upto(F.substr(rest, F.length(_upto(rest, "/?#")) + 1), "?#")
+    return _lower(_part(url, 2)), _part(url, 3)
 
 
 def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -58,21 +59,17 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> t
 
 def url_key(url: Column) -> Column:
     """What makes a node: the URL without its fragment, scheme and host folded; null without a host."""
-    host, _ = host_and_path(url)
-    scheme = _lower(F.substring_index(url, "://", 1))
-    rest = F.substr(url, F.length(F.substring_index(url, "://", 1)) + 4 + F.length(host))
-    return F.when(host != "", F.concat(scheme, F.lit("://"), host, _upto(rest, "#")))
+    return F.when(_part(url, 2) != "", F.concat(_lower(_part(url, 1)), F.lit("://"), _lower(_part(url, 2)), _part(url, 3), _part(url, 4)))
 
 
 def _resolved(base: Column, target: Column) -> Column:
-    host, path = host_and_path(base)
-    scheme = F.substring_index(base, "://", 1)
-    root = F.concat(scheme, F.lit("://"), host)
+    """A target of a page's link as an absolute URL."""
+    root = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
     return (
         F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("//"), F.concat(_part(base, 1), F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))
-        .otherwise(F.concat(root, F.regexp_replace(path, "[^/]*$", ""), target))
+        .otherwise(F.concat(root, F.regexp_replace(_part(base, 3), "[^/]*$", ""), target))
     )
 
 
@@ -81,8 +78,8 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     html, url = F.col(html_col), F.col(url_col)
     some = pages.filter(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"))
     found = some.select(url.alias("__url"), F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("__to")).filter(F.col("__to") != "")
-    target = _resolved(F.col("__url"), F.regexp_replace("__to", "&amp;", "&"))
-    return found.select(url_key(F.col("__url")).alias("u"), url_key(target).alias("v")).filter("u is not null and v is not null and u <> v")
+    found = written(found.withColumn("__to", _resolved(F.col("__url"), F.regexp_replace("__to", "&amp;", "&"))), "url-links")
+    return found.select(url_key(F.col("__url")).alias("u"), url_key(F.col("__to")).alias("v")).filter("u is not null and v is not null and u <> v")
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
