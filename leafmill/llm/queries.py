@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, language_id, media_archive, mixing, near_dedup, packing, substring_dedup, token_output, url_filter
+from . import host_rules, language_id, licenses, media_archive, mixing, near_dedup, packing, substring_dedup, token_output, url_filter
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_archive.media_columns(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_host_rules": op4_host_rules,
     "op5_language_id": op5_language_id,
     "op6_token_output": op6_token_output,
+    "op7_license_scan": op7_license_scan,
     "op8_media_columns": op8_media_columns,
     "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
