@@ -14,9 +14,13 @@ from .common import written
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours hang on its smallest neighbour (or on itself)."""
+    """Every node's larger neighbours hang on its smallest neighbour (or on itself).
+
+    The smallest neighbours are written first: then both sides of the join are shuffled for it
+    alone, and AQE may split the rows of a node with very many neighbours.
+    """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
     return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
