@@ -2,5 +2,562 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import hashing, params, raster, text
+from ..operators import batching, exchange, geometry, health, metrics, regions, sequence
+from ..session import table
+from ..sources import writers
+from .relations import CALLS_SQL, DET_SQL, calls, detections
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+DET, CALLS = f"WITH {DET_SQL}", f"WITH {CALLS_SQL}"
+_IN = "c.x1 >= p.x1 AND c.y1 >= p.y1 AND c.x2 <= p.x2 AND c.y2 <= p.y2"
+_TOUCH = "c.x2 >= p.x1 AND p.x2 >= c.x1 AND c.y2 >= p.y1 AND p.y2 >= c.y1"
+_IDS = ("page_index", "label", "x1", "y1", "x2", "y2", "score", "bubble_index")
+
+# ---------------------------------------------------------------- filters and projections
+
+
+@query(f"{DET} SELECT page_index, label, x1, y1, x2, y2, score FROM det WHERE score >= 30")
+def q_confidence_filter(spark, sf):
+    return regions.confident(detections(spark, sf), 30).select("page_index", "label", "x1", "y1", "x2", "y2", "score")
+
+
+@query(f"{DET} SELECT page_index, count(*) AS n, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 2) AS n2 FROM det GROUP BY page_index")
+def q_label_demux_counts(spark, sf):
+    return detections(spark, sf).groupBy("page_index").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("label") == k).alias(f"n{k}") for k in (0, 1, 2)])
+
+
+@query(f"{DET} SELECT page_index, bubble_index, score FROM det WHERE label = 2 AND score >= 50")
+def q_target_label(spark, sf):
+    return regions.confident(detections(spark, sf).filter("label = 2"), 50).select("page_index", "bubble_index", "score")
+
+
+@query(f"{DET} SELECT page_index, bubble_index, label FROM det WHERE label <> 2")
+def q_free_text_filter(spark, sf):
+    return detections(spark, sf).filter("label <> 2").select("page_index", "bubble_index", "label")
+
+
+@query(f"""{DET} SELECT page_index, bubble_index, greatest(x1, 0) AS x1, greatest(y1, 0) AS y1, least(x2, 400) AS x2, least(y2, 300) AS y2 FROM det
+WHERE least(x2, 400) > greatest(x1, 0) AND least(y2, 300) > greatest(y1, 0)""")
+def q_clamped_crops(spark, sf):
+    out = detections(spark, sf).withColumns(geometry.clamped(400, 300))
+    return out.filter("x2 > x1 and y2 > y1").select("page_index", "bubble_index", *geometry.BOX)
+
+
+@query(f"""{DET} SELECT page_index, bubble_index, CAST(greatest(x2 - x1, 1) AS INTEGER) AS w, CAST(greatest(y2 - y1, 1) AS INTEGER) AS h, x2 - x1 >= 16 AND y2 - y1 >= 16 AS cleanable,
+(x2 - x1) * (y2 - y1) >= 900 AS large FROM det""")
+def q_crop_sizes(spark, sf):
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return detections(spark, sf).select("page_index", "bubble_index", F.greatest(w, F.lit(1)).alias("w"), F.greatest(h, F.lit(1)).alias("h"), ((w >= 16) & (h >= 16)).alias("cleanable"), (w * h >= 900).alias("large"))
+
+
+@query(f"""{DET} SELECT page_index, bubble_index, CASE WHEN score < 40 THEN 'text' WHEN label = 0 THEN 'text' ELSE 'image' END AS route,
+CASE WHEN label = 2 THEN 640 WHEN label = 1 THEN greatest(x2 - x1, y2 - y1) ELSE x2 END AS target FROM det""")
+def q_routes_and_sizes(spark, sf):
+    d = detections(spark, sf)
+    route = F.when(F.col("score") < 40, "text").when(F.col("label") == 0, "text").otherwise("image")
+    asked = F.when(F.col("label") == 1, F.lit(0)).when(F.col("label") == 0, F.col("x2"))
+    return d.select("page_index", "bubble_index", route.alias("route"), params.target_size(asked, F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("target"))
+
+
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'request' END, CASE WHEN o_orderkey % 2 = 0 THEN 'server' END, 'constant') AS picked,
+CAST(least(greatest(coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 13 END, 4), 1), 8) AS BIGINT) AS reuse, CAST(least(greatest(o_orderkey % 50, 1), 32) AS BIGINT) AS sessions,
+CAST(82 * least(greatest(o_orderkey % 50, 1), 32) AS BIGINT) AS memory_mb FROM orders""")
+def q_option_precedence(spark, sf):
+    k = F.col("o_orderkey")
+    limit = params.session_limit(k % 50)
+    picked = params.option(F.when(k % 3 == 0, F.lit("request")), F.when(k % 2 == 0, F.lit("server")), "constant")
+    return table(spark, sf, "orders").select("o_orderkey", picked.alias("picked"), params.reuse_factor(F.when(k % 5 > 0, k % 13)).cast("long").alias("reuse"), limit.cast("long").alias("sessions"), params.session_memory_mb(limit).cast("long").alias("memory_mb"))
+
+
+# ---------------------------------------------------------------- spatial joins
+
+
+@query(f"{DET} SELECT p.page_index, p.bubble_index AS parent, c.bubble_index AS child FROM det p JOIN det c ON p.page_index = c.page_index AND p.label = 0 AND c.label = 1 AND {_IN}")
+def q_containment_join(spark, sf):
+    return regions.children(detections(spark, sf)).select("p.page_index", F.col("p.bubble_index").alias("parent"), F.col("c.bubble_index").alias("child"))
+
+
+@query(f"{DET} SELECT p.page_index, p.bubble_index AS parent, c.bubble_index AS child FROM det p JOIN det c ON p.page_index = c.page_index AND p.label = 0 AND c.label = 1 AND {_TOUCH} AND NOT ({_IN})")
+def q_partial_overlap_warnings(spark, sf):
+    return regions.partial_overlaps(detections(spark, sf)).select("p.page_index", F.col("p.bubble_index").alias("parent"), F.col("c.bubble_index").alias("child"))
+
+
+@query(f"{DET} SELECT page_index, bubble_index FROM det p WHERE label = 0 AND NOT EXISTS (SELECT 1 FROM det c WHERE c.page_index = p.page_index AND c.label = 1 AND {_IN})")
+def q_childless_parents(spark, sf):
+    return regions.categorised(detections(spark, sf)).filter("label = 0 and n_children = 0").select("page_index", (F.col("region_id") - F.col("page_index") * 10000).cast("int").alias("rank")).join(
+        _ranked_parents(detections(spark, sf)), ["page_index", "rank"]).select("page_index", "bubble_index")
+
+
+def _ranked_parents(det: DataFrame) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("page_index").orderBy("bubble_index")) - 1
+    return det.filter("label = 0").select("page_index", "bubble_index", rank.alias("rank"))
+
+
+@query(f"{DET} SELECT page_index, bubble_index FROM det c WHERE label = 1 AND NOT EXISTS (SELECT 1 FROM det p WHERE p.page_index = c.page_index AND p.label = 0 AND {_IN})")
+def q_orphan_regions(spark, sf):
+    return regions.orphans(detections(spark, sf)).select("page_index", "bubble_index")
+
+
+_CATEGORISED = f"""{DET}, pairs AS (
+  SELECT p.page_index, p.bubble_index, count(*) AS n, CAST(sum((c.x2 - c.x1) * (c.y2 - c.y1)) AS BIGINT) AS area, CAST(sum(CASE WHEN c.score >= 50 THEN (c.x2 - c.x1) * (c.y2 - c.y1) ELSE 0 END) AS BIGINT) AS white
+  FROM det p JOIN det c ON p.page_index = c.page_index AND p.label = 0 AND c.label = 1 AND {_IN} GROUP BY ALL),
+u AS (
+  SELECT d.*, coalesce(n, 0) AS n_children, coalesce(area, 0) AS child_area, CASE WHEN area > 0 AND white / area >= 0.6 THEN 'Simple' ELSE 'Complex' END AS background_type FROM det d LEFT JOIN pairs USING (page_index, bubble_index) WHERE label = 0
+  UNION ALL
+  SELECT c.*, 0, 0, 'Complex' FROM det c WHERE label = 2 OR label = 1 AND NOT EXISTS (SELECT 1 FROM det p WHERE p.page_index = c.page_index AND p.label = 0 AND {_IN})),
+r AS (SELECT page_index, page_index * 10000 + row_number() OVER (PARTITION BY page_index ORDER BY label, bubble_index) - 1 AS region_id, label, x1, y1, x2, y2, background_type, n_children, child_area FROM u)"""
+
+
+@query(f"{_CATEGORISED} SELECT * FROM r")
+def q_categorised_regions(spark, sf):
+    return _categorised(spark, sf)
+
+
+def _categorised(spark, sf) -> DataFrame:
+    area = (F.col("c.x2") - F.col("c.x1")) * (F.col("c.y2") - F.col("c.y1"))
+    return regions.categorised(detections(spark, sf), white=F.when(F.col("c.score") >= 50, area).otherwise(0))
+
+
+@query(f"""{_CATEGORISED} SELECT page_index, count(*) AS n_regions, count(*) FILTER (label = 0) AS n_label_0, count(*) FILTER (label = 1) AS n_label_1, count(*) FILTER (label = 2) AS n_label_2,
+count(*) FILTER (background_type = 'Simple') AS n_simple, count(*) FILTER (background_type <> 'Simple') AS n_complex FROM r GROUP BY page_index""")
+def q_region_counters(spark, sf):
+    return metrics.region_counts(_categorised(spark, sf), ["page_index"])
+
+
+@query(f"""{_CATEGORISED}, c AS (SELECT page_index, count(*) FILTER (background_type = 'Simple') AS s, count(*) FILTER (background_type <> 'Simple') AS x, count(*) FILTER (label = 2) AS i FROM r GROUP BY page_index)
+SELECT CAST(max(CASE WHEN s > 0 THEN 1 ELSE 0 END) AS BIGINT) AS api_calls_simple, CAST(sum(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS BIGINT) AS api_calls_complex, CAST(sum(i) AS BIGINT) AS api_calls_images FROM c""")
+def q_api_call_counts(spark, sf):
+    return metrics.api_calls(metrics.region_counts(_categorised(spark, sf), ["page_index"]).withColumnRenamed("n_label_2", "n_images"))
+
+
+_IOU = "CASE WHEN least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1) THEN CAST((least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS DOUBLE) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) ELSE 0 END"
+
+
+@query(f"{DET} SELECT a.page_index, a.bubble_index AS a, b.bubble_index AS b, round({_IOU}, 6) AS iou FROM det a JOIN det b ON a.page_index = b.page_index AND a.label = b.label AND a.bubble_index < b.bubble_index WHERE {_IOU} > 0")
+def q_iou_pairs(spark, sf):
+    a, b = detections(spark, sf).alias("a"), detections(spark, sf).alias("b")
+    on = (F.col("a.page_index") == F.col("b.page_index")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.bubble_index") < F.col("b.bubble_index"))
+    return a.join(b, on).select("a.page_index", F.col("a.bubble_index").alias("a"), F.col("b.bubble_index").alias("b"), F.round(geometry.iou("a", "b"), 6).alias("iou")).filter("iou > 0")
+
+
+@query(f"""WITH RECURSIVE {DET_SQL},
+o AS (SELECT *, row_number() OVER (PARTITION BY page_index, label ORDER BY score DESC, bubble_index) AS rn FROM det),
+k AS (
+  SELECT page_index, label, rn, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'bubble_index': bubble_index, 'score': score}}] AS kept FROM o WHERE rn = 1
+  UNION ALL
+  SELECT b.page_index, b.label, b.rn, CASE WHEN len(list_filter(kept, lambda a: {_IOU} > 0.3)) > 0 THEN kept ELSE list_append(kept, {{'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'bubble_index': b.bubble_index, 'score': b.score}}) END
+  FROM k JOIN o b ON b.page_index = k.page_index AND b.label = k.label AND b.rn = k.rn + 1),
+f AS (SELECT page_index, label, max_by(kept, rn) AS kept FROM k GROUP BY ALL),
+e AS (SELECT page_index, label, unnest(kept) AS x FROM f)
+SELECT page_index, label, x.x1 AS x1, x.y1 AS y1, x.x2 AS x2, x.y2 AS y2, x.score AS score, x.bubble_index AS bubble_index FROM e""")
+def q_nms_boxes(spark, sf):
+    return geometry.nms(detections(spark, sf), ["page_index", "label"], "score", ["bubble_index"], 0.3)
+
+
+@query("""WITH RECURSIVE n AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+k AS (
+  SELECT label, rn, [{'vec_id': vec_id, 'e': embedding}] AS kept FROM n WHERE rn = 1
+  UNION ALL
+  SELECT n.label, n.rn, CASE WHEN len(list_filter(kept, lambda y: list_cosine_similarity(y.e, n.embedding) > 0.3)) > 0 THEN kept ELSE list_append(kept, {'vec_id': n.vec_id, 'e': n.embedding}) END
+  FROM k JOIN n ON n.label = k.label AND n.rn = k.rn + 1)
+SELECT label, CAST(len(max_by(kept, rn)) AS BIGINT) AS n_kept FROM k GROUP BY label""")
+def q_nms_embeddings(spark, sf):
+    """Greedy suppression by cosine similarity."""
+    wide = lambda e: F.transform(e, lambda x: x.cast("double"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    e = table(spark, sf, "embeddings").withColumn("e", wide("embedding")).withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e"))))
+    clash = lambda a, b: dot(a["e"], b["e"]) > 0.3 * a["norm"] * b["norm"]
+    kept = geometry.greedy_suppression(e, ["label"], [F.col("vec_id")], F.struct("e", "norm"), clash)
+    return kept.select("label", F.size("kept").cast("long").alias("n_kept"))
+
+
+@query(f"{DET} SELECT page_index, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, CAST(sum(greatest(x2 - x1, 0) * greatest(y2 - y1, 0)) FILTER (label = 1) AS BIGINT) AS child_area FROM det GROUP BY page_index")
+def q_bbox_union(spark, sf):
+    area = F.greatest(F.col("x2") - F.col("x1"), F.lit(0)) * F.greatest(F.col("y2") - F.col("y1"), F.lit(0))
+    return detections(spark, sf).groupBy("page_index").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.sum(F.when(F.col("label") == 1, area)).cast("long").alias("child_area"))
+
+
+@query(f"{DET} SELECT page_index, bubble_index, row_number() OVER (PARTITION BY page_index ORDER BY y1, x1, bubble_index) AS reading_order FROM det")
+def q_reading_order(spark, sf):
+    rank = F.row_number().over(Window.partitionBy("page_index").orderBy("y1", "x1", "bubble_index"))
+    return detections(spark, sf).select("page_index", "bubble_index", rank.cast("long").alias("reading_order"))
+
+
+# ---------------------------------------------------------------- batching
+
+
+@query("SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 5 AS BIGINT) AS batch, 'batch_' || CAST((row_number() OVER (ORDER BY doc_id) - 1) // 5 AS VARCHAR) AS batch_id FROM documents")
+def q_batch_ids(spark, sf):
+    d = batching.ordinal(table(spark, sf, "documents").select("doc_id"), ["doc_id"])
+    batch = batching.chunk(F.col("ord"), 5)
+    return d.select("doc_id", batch.alias("batch"), F.concat(F.lit("batch_"), batch.cast("string")).alias("batch_id"))
+
+
+@query("""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
+k AS (SELECT *, (n + 6) // 7 AS per FROM o), s AS (SELECT *, i // per AS kc, least(per, n - (i // per) * per) AS len FROM k)
+SELECT doc_id, CAST(kc AS BIGINT) AS key_chunk, CAST((i - kc * per) // ((len + 3) // 4) AS BIGINT) AS sub_chunk, i + 1 AS display_number FROM s""")
+def q_two_level_batches(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    n = d.agg(F.count(F.lit(1)).alias("n"))
+    placed = batching.ordinal(d, ["doc_id"]).crossJoin(F.broadcast(n))  # n is one row
+    return batching.two_level(placed, "ord", F.col("n"), 7, 4).select("doc_id", "key_chunk", "sub_chunk", "display_number")
+
+
+@query("SELECT event_id, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) % 3 AS BIGINT) AS key_index FROM events")
+def q_round_robin(spark, sf):
+    d = batching.ordinal(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"])
+    return d.select("event_id", batching.round_robin(F.col("ord"), 3).alias("key_index"))
+
+
+@query("""SELECT o_orderkey, array_to_string([CAST(CASE WHEN o_orderstatus = 'F' THEN 10000 ELSE pow(2, i) * 1000 END AS BIGINT) for i in range(0, 4)], ',') AS delays,
+array_to_string([CAST(least(pow(2, i) * 1000, 10000) AS BIGINT) for i in range(0, 6)], ',') AS capped FROM orders""")
+def q_retry_schedule(spark, sf):
+    line = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    return table(spark, sf, "orders").select("o_orderkey", line(batching.retry_delays(3, F.col("o_orderstatus") == "F")).alias("delays"), line(batching.capped_delays(6)).alias("capped"))
+
+
+# ---------------------------------------------------------------- cache and exchange
+
+
+_CACHE = "SELECT md5(text) AS k, min(doc_id) AS cached_id FROM documents WHERE doc_id % 3 = 0 GROUP BY 1"
+
+
+def _cache(spark, sf) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("k"))
+    return d, d.filter("doc_id % 3 = 0").groupBy("k").agg(F.min("doc_id").alias("cached_id"))
+
+
+@query(f"SELECT doc_id, cached_id FROM documents JOIN ({_CACHE}) ON md5(text) = k")
+def q_cache_probe_hits(spark, sf):
+    return exchange.cache_hits(*_cache(spark, sf), "k").select("doc_id", "cached_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT k FROM ({_CACHE}))")
+def q_cache_probe_misses(spark, sf):
+    return exchange.cache_misses(*_cache(spark, sf), "k").select("doc_id")
+
+
+@query()
+def q_cache_keys_xxh3(spark, sf):
+    """Keys of the exact format: XXH3 of a page's hash and a box."""
+    d = table(spark, sf, "documents").select("doc_id", hashing.xxh3(F.encode("text", "UTF-8")).alias("source_hash"))
+    box = [F.lit(0), F.lit(0), F.lit(100), (F.col("doc_id") % 50).cast("int")]
+    return d.select("doc_id", "source_hash", text.hex_key(hashing.cache_key("source_hash", *box)).alias("cache_key"))
+
+
+@query("""SELECT k, max_by(v, (prio, v)) AS v FROM (SELECT o_custkey AS k, CAST(max(o_orderkey) AS VARCHAR) AS v, 0 AS prio FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, c_name, 1 FROM customer WHERE c_custkey % 4 = 0) GROUP BY k""")
+def q_cache_upsert(spark, sf):
+    old = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").cast("string").alias("v"))
+    new = table(spark, sf, "customer").filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    return exchange.upsert(old, new, ["k"], ["v"])
+
+
+@query("SELECT user_id, last_event FROM (SELECT user_id, max(ts) AS t, max(event_id) AS last_event FROM events GROUP BY user_id) ORDER BY t DESC, user_id LIMIT 100")
+def q_lru_topk(spark, sf):
+    used = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("t"), F.max("event_id").alias("last_event"))
+    return exchange.most_recent(used, [F.desc("t"), F.asc("user_id")], 100).select("user_id", "last_event")
+
+
+@query("SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def q_numbered_match(spark, sf):
+    o, li = table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return exchange.numbered_match(o, li, ["o_orderkey"]).select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 1)")
+def q_numbered_unmatched(spark, sf):
+    li = table(spark, sf, "lineitem").filter("l_linenumber > 1").select(F.col("l_orderkey").alias("o_orderkey"))
+    return exchange.unmatched(table(spark, sf, "orders").select("o_orderkey"), li, ["o_orderkey"])
+
+
+@query("""WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS ord FROM supplier), b AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS ord FROM customer)
+SELECT ord, s_suppkey, c_custkey FROM a JOIN b USING (ord)""")
+def q_positional_join(spark, sf):
+    a = batching.ordinal(table(spark, sf, "supplier").select("s_suppkey"), ["s_suppkey"])
+    b = batching.ordinal(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"])
+    return exchange.zipped(a, b, "ord").select("ord", "s_suppkey", "c_custkey")
+
+
+@query("SELECT d.doc_id, coalesce('q' || quality, d.lang) AS value FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def q_translation_fallback(spark, sf):
+    found = table(spark, sf, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("value"))
+    return exchange.with_fallback(table(spark, sf, "documents").select("doc_id", "lang"), found, ["doc_id"], "value", F.col("lang")).select("doc_id", "value")
+
+
+@query("""SELECT o_orderkey, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey), '') AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <= 2 GROUP BY o_orderkey""")
+def q_page_fanin_lists(spark, sf):
+    li = table(spark, sf, "lineitem").filter("l_linenumber <= 2").withColumnRenamed("l_orderkey", "o_orderkey")
+    out = exchange.fan_in(table(spark, sf, "orders").select("o_orderkey"), li, "o_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], F.col("l_partkey").cast("string"))
+    return out.select("o_orderkey", F.array_join("items", ",").alias("parts"))
+
+
+@query(f"{DET} SELECT o.page_index, o.bubble_index, coalesce(p.x1, 0) AS x1, coalesce(p.y1, 0) AS y1 FROM det o LEFT JOIN (SELECT page_index, arg_min(x1, bubble_index) AS x1, arg_min(y1, bubble_index) AS y1 FROM det WHERE label = 0 GROUP BY 1) p USING (page_index)")
+def q_first_match_box(spark, sf):
+    d = detections(spark, sf)
+    first = d.filter("label = 0").groupBy("page_index").agg(F.min_by("x1", "bubble_index").alias("px"), F.min_by("y1", "bubble_index").alias("py"))
+    return d.join(first, "page_index", "left").select("page_index", "bubble_index", F.coalesce("px", F.lit(0)).alias("x1"), F.coalesce("py", F.lit(0)).alias("y1"))
+
+
+@query("SELECT user_id, max_by(event_type, (CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def q_last_write_wins(spark, sf):
+    e = table(spark, sf, "events").withColumn("prio", F.when(F.col("event_type") == "purchase", 1).otherwise(0))
+    return exchange.last_write(e, ["user_id"], ["prio", "ts", "event_id"], ["event_type"])
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def q_anti_processed(spark, sf):
+    return exchange.unmatched(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), ["doc_id"])
+
+
+@query("SELECT doc_id, 'cached' AS kind FROM labels WHERE toxic = 0 UNION ALL SELECT doc_id, 'new' FROM labels WHERE quality = 1")
+def q_union_cached_new(spark, sf):
+    la = table(spark, sf, "labels")
+    return la.filter("toxic = 0").select("doc_id", F.lit("cached").alias("kind")).unionByName(la.filter("quality = 1").select("doc_id", F.lit("new").alias("kind")))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS joined FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY conv_id")
+def q_child_text_concat(spark, sf):
+    return exchange.joined_text(table(spark, sf, "conversations").filter("role = 'user'"), ["conv_id"], ["turn"], "text")
+
+
+# ---------------------------------------------------------------- metrics
+
+
+@query(f"""{CALLS} SELECT event_type, count(*) AS n, count(*) FILTER (ok) AS successes, CAST(coalesce(sum(latency), 0) AS BIGINT) AS total_ms, CAST(coalesce(sum(latency) // nullif(count(latency), 0), 0) AS BIGINT) AS mean_ms FROM calls GROUP BY event_type""")
+def q_batch_analytics(spark, sf):
+    c = calls(spark, sf)
+    return c.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("successes"), F.coalesce(F.sum("latency"), F.lit(0)).cast("long").alias("total_ms"), metrics.integer_mean("latency").alias("mean_ms"))
+
+
+@query(f"""{CALLS}, r AS (SELECT latency FROM calls ORDER BY sec DESC, event_id DESC LIMIT 10000), l AS (SELECT list_sort(list(latency)) AS v, CAST(sum(latency) // count(latency) AS BIGINT) AS mean FROM r)
+SELECT (SELECT count(*) FROM calls) AS calls, (SELECT count(*) FILTER (ok) FROM calls) AS successes, (SELECT count(*) FILTER (NOT ok) FROM calls) AS failures, mean,
+v[1 + CAST(floor((len(v) - 1) * 0.5) AS INT)] AS p50, v[1 + CAST(floor((len(v) - 1) * 0.95) AS INT)] AS p95, v[1 + CAST(floor((len(v) - 1) * 0.99) AS INT)] AS p99 FROM l""")
+def q_latency_percentiles(spark, sf):
+    return metrics.call_summary(calls(spark, sf), "latency", F.col("ok"), 10_000, [F.desc("at"), F.desc("event_id")])
+
+
+@query(f"{CALLS} SELECT printf('calls_%s_total {{}} %d', event_type, count(*)) AS line FROM calls GROUP BY event_type")
+def q_prometheus_text(spark, sf):
+    c = calls(spark, sf).groupBy(F.concat(F.lit("calls_"), "event_type", F.lit("_total")).alias("name")).agg(F.count(F.lit(1)).alias("v"))
+    return metrics.exposition(c, "name", "v")
+
+
+@query("""SELECT source, count(*) AS n, round(sum(strlen(text)) / 1048576.0, 6) AS mb, round(100.0 * count(*) / (SELECT count(*) FROM documents), 1) AS share FROM documents GROUP BY source""")
+def q_size_and_share(spark, sf):
+    d = table(spark, sf, "documents")
+    per = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.octet_length("text")) / 1048576.0, 6).alias("mb"))
+    total = d.agg(F.count(F.lit(1)).alias("t"))
+    return per.crossJoin(F.broadcast(total)).select("source", "n", "mb", metrics.percentage(F.col("n"), F.col("t")).alias("share"))
+
+
+# ---------------------------------------------------------------- state machines
+
+
+@query(f"""{CALLS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS i FROM calls),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY user_id, ok ORDER BY i) AS grp FROM o), r AS (SELECT user_id, ok, grp, count(*) AS n, max(i) AS e, max(sec) AS t FROM g GROUP BY ALL),
+t AS (SELECT user_id, count(*) AS requests, count(*) FILTER (NOT ok) AS failures, max(i) AS last, max(sec) AS now FROM o GROUP BY 1),
+z AS (SELECT t.*, coalesce(max(n) FILTER (NOT ok AND e = last), 0) AS f, coalesce(max(n) FILTER (ok AND e = last), 0) AS s, max(r.t) FILTER (NOT ok AND e = last) AS lf FROM t JOIN r USING (user_id) GROUP BY ALL)
+SELECT user_id, requests, failures, f AS consecutive_failures, s AS consecutive_successes, CASE WHEN f >= 3 THEN 'Unhealthy' WHEN f > 0 AND now - lf < 60 THEN 'Degraded' ELSE 'Healthy' END AS health FROM z""")
+def q_key_health(spark, sf):
+    return health.key_health(calls(spark, sf), "user_id", "at", "event_id", F.col("ok"))
+
+
+@query(f"""WITH RECURSIVE {CALLS_SQL}, o AS (SELECT user_id, sec, ok, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS i FROM calls),
+b AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 'Closed' AS st, CAST(0 AS BIGINT) AS f, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS op, CAST(0 AS BIGINT) AS trips, CAST(0 AS BIGINT) AS refused FROM o
+  UNION ALL
+  SELECT n.user_id, n.i,
+    CASE WHEN n.st = 'Open' THEN 'Open' WHEN n.st = 'HalfOpen' THEN CASE WHEN NOT ok THEN 'Open' WHEN n.s + 1 >= 3 THEN 'Closed' ELSE 'HalfOpen' END WHEN NOT ok AND n.f + 1 >= 2 THEN 'Open' ELSE 'Closed' END,
+    CASE WHEN n.st = 'Open' THEN n.f WHEN n.st = 'Closed' AND NOT ok AND n.f + 1 < 2 THEN n.f + 1 ELSE 0 END,
+    CASE WHEN n.st = 'HalfOpen' AND ok AND n.s + 1 < 3 THEN n.s + 1 ELSE 0 END,
+    CASE WHEN n.st = 'HalfOpen' AND NOT ok OR n.st = 'Closed' AND NOT ok AND n.f + 1 >= 2 THEN n.sec ELSE n.op END,
+    n.trips + CASE WHEN n.st = 'HalfOpen' AND NOT ok OR n.st = 'Closed' AND NOT ok AND n.f + 1 >= 2 THEN 1 ELSE 0 END,
+    n.refused + CASE WHEN n.st = 'Open' THEN 1 ELSE 0 END
+  FROM (SELECT b.user_id, o.i, o.sec, o.ok, CASE WHEN b.st = 'Open' AND o.sec - b.op >= 21600 THEN 'HalfOpen' ELSE b.st END AS st, b.f, CASE WHEN b.st = 'Open' THEN 0 ELSE b.s END AS s, b.op, b.trips, b.refused FROM b JOIN o ON o.user_id = b.user_id AND o.i = b.i + 1) n)
+SELECT user_id, max_by(st, i) AS state, max_by(trips, i) AS trips, max_by(refused, i) AS refused FROM b GROUP BY user_id""")
+def q_breaker_states(spark, sf):
+    return health.breaker(calls(spark, sf), "user_id", "at", "event_id", F.col("ok"), failures=2, open_s=21_600, successes=3)
+
+
+# ---------------------------------------------------------------- sequences
+
+
+def _profile(spark, sf) -> DataFrame:
+    """Event counts by minute of the hour: a projection profile for each user group."""
+    e = table(spark, sf, "events").select((F.col("user_id") % 20).alias("k"), F.minute("ts").alias("x"))
+    grid = e.select("k").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(59))))
+    return grid.join(e.groupBy("k", "x").agg(F.count(F.lit(1)).alias("v")), ["k", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+
+
+_PROFILE = """e AS (SELECT user_id % 20 AS k, minute(ts) AS x FROM events), g AS (SELECT k, x FROM (SELECT DISTINCT k FROM e), (SELECT unnest(range(0, 60)) AS x)),
+p AS (SELECT g.k, g.x, count(e.k) AS v FROM g LEFT JOIN e ON g.k = e.k AND g.x = e.x GROUP BY ALL), m AS (SELECT k, avg(v) AS mean FROM p GROUP BY k)"""
+
+
+@query(f"""WITH {_PROFILE}, f AS (SELECT p.k, p.x, p.x - row_number() OVER (PARTITION BY p.k ORDER BY p.x) AS r FROM p JOIN m USING (k) WHERE v > 0.9 * mean),
+i AS (SELECT k, min(x) AS s, max(x) - min(x) + 1 AS w FROM f GROUP BY k, r), c AS (SELECT k, greatest(s - 2, 0) AS x, least(w + 4, 60 - greatest(s - 2, 0)) AS width FROM i WHERE w >= 4),
+a AS (SELECT * FROM c UNION ALL SELECT k, 0, 60 FROM m WHERE k NOT IN (SELECT k FROM c))
+SELECT k, CAST(x AS BIGINT) AS x, CAST(width AS BIGINT) AS width, row_number() OVER (PARTITION BY k ORDER BY x DESC) - 1 AS position FROM a""")
+def q_profile_columns(spark, sf):
+    return sequence.profile_columns(_profile(spark, sf), "k", "x", "v", share=0.9, least=4)
+
+
+@query(f"WITH {_PROFILE} SELECT k, CAST(greatest(min(x) - 2, 0) AS BIGINT) AS top, CAST(least(max(x) + 3, 60) AS BIGINT) AS bottom FROM p JOIN m USING (k) WHERE v > 1.2 * mean GROUP BY k")
+def q_vertical_extent(spark, sf):
+    return sequence.extent(_profile(spark, sf), "k", "x", "v", share=1.2)
+
+
+@query(f"""WITH {_PROFILE}, t AS (SELECT p.k, v > mean AS o, lag(v > mean) OVER (PARTITION BY p.k ORDER BY x) AS b FROM p JOIN m USING (k)), q AS (SELECT k, CAST(greatest(CAST(sum(v) AS BIGINT) // count(*) - 20, 0) AS BIGINT) AS threshold FROM p GROUP BY k)
+SELECT k, count(*) FILTER (b IS NOT NULL AND b <> o) AS transitions, any_value(threshold) AS threshold FROM t JOIN q USING (k) GROUP BY k""")
+def q_transitions(spark, sf):
+    p = _profile(spark, sf)
+    stats = p.groupBy("k").agg(F.avg("v").alias("mean"), sequence.dark_threshold(F.sum("v"), F.count("v")).alias("threshold"))
+    marked = p.join(stats, "k").withColumn("on", F.col("v") > F.col("mean"))
+    return sequence.transitions(marked, "k", "x", F.col("on")).join(stats.select("k", "threshold"), "k")
+
+
+@query("""WITH s AS (SELECT vec_id, [list_position(embedding[8 * r + 1 : 8 * r + 8], list_max(embedding[8 * r + 1 : 8 * r + 8])) - 1 for r in range(0, 8)] AS idx, [list_max(embedding[8 * r + 1 : 8 * r + 8]) for r in range(0, 8)] AS best FROM embeddings),
+c AS (SELECT vec_id, best, list_filter(idx, lambda x, i: x <> 0 AND (i = 1 OR x <> idx[i - 1])) AS kept FROM s)
+SELECT vec_id, array_to_string([CASE WHEN x = 7 THEN '?' ELSE chr(CAST(64 + x AS INTEGER)) END for x in kept], '') AS decoded, round(list_sum([least(exp(CAST(x AS DOUBLE)), 1.0) for x in best]) / 8, 6) AS confidence FROM c""")
+def q_ctc_decode(spark, sf):
+    """Embeddings as 8 steps of 8 logits; blank 0, and 7 is not in the vocabulary."""
+    step = lambda r: F.slice("embedding", r * 8 + 1, 8)
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: sequence.arg_max(step(r))).alias("idx"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.array_max(step(r))).alias("best"))
+    words = F.create_map(*[x for i in range(1, 7) for x in (F.lit(i), F.lit(chr(64 + i)))])
+    return e.select("vec_id", sequence.decode(sequence.ctc_collapse(F.col("idx"), 0), words).alias("decoded"), F.round(sequence.ctc_confidence(F.col("best")), 6).alias("confidence"))
+
+
+@query("""WITH q AS (SELECT doc_id, substr(text, 1, CAST(doc_id % 5 AS INTEGER)) AS t, (doc_id % 10) / 10.0::DOUBLE AS conf FROM documents)
+SELECT doc_id, CASE WHEN length(t) = 0 THEN false WHEN length(t) <= 2 AND regexp_matches(t, '^[!-~]+$') THEN false WHEN regexp_matches(t, '^[!-~]+$') AND conf < 0.5 THEN false ELSE conf >= 0.2 END AS good,
+CASE WHEN length(t) = 0 THEN false WHEN length(t) <= 2 THEN false ELSE conf >= 0.4 END AS good_strict FROM q""")
+def q_text_quality_gate(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.substr("text", F.lit(1), (F.col("doc_id") % 5).cast("int")).alias("t"), ((F.col("doc_id") % 10) / F.lit(10.0)).alias("conf"))
+    return d.select("doc_id", text.quality_gate("t", "conf").alias("good"), text.strict_gate("t", "conf").alias("good_strict"))
+
+
+@query(f"""{DET}, r AS (SELECT page_index, max(score) FILTER (label = 1) AS a, max(score) FILTER (label = 2) AS b, count(*) FILTER (label = 1) AS ca, count(*) FILTER (label = 2) AS cb FROM det GROUP BY page_index)
+SELECT page_index, CASE WHEN ca > cb OR ca = cb AND a >= b THEN 'first' ELSE 'second' END AS reading FROM r WHERE a IS NOT NULL AND b IS NOT NULL""")
+def q_better_reading(spark, sf):
+    of = lambda k: (F.max(F.when(F.col("label") == k, F.col("score"))), F.count_if(F.col("label") == k))
+    r = detections(spark, sf).groupBy("page_index").agg(of(1)[0].alias("a"), of(2)[0].alias("b"), of(1)[1].alias("ca"), of(2)[1].alias("cb")).filter("a is not null and b is not null")
+    return r.select("page_index", sequence.better_reading(F.lit("first"), F.col("a"), F.col("ca"), F.lit("second"), F.col("b"), F.col("cb")).alias("reading"))
+
+
+# ---------------------------------------------------------------- strings and JSON
+
+
+@query("""SELECT doc_id, regexp_matches(text, '[一-鿿぀-ヿ가-힣]') AS cjk, CAST(length(regexp_replace(text, '[^!-~]', '', 'g')) AS INTEGER) AS n_ascii, substr(text, 1, 50) AS head FROM documents""")
+def q_char_classes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.has_cjk("text").alias("cjk"), text.ascii_count("text").alias("n_ascii"), F.substring("text", 1, 50).alias("head"))
+
+
+@query("SELECT p_partkey, regexp_replace(replace(p_name, ' ', '_'), '[^A-Za-z0-9_-]', '-', 'g') AS safe FROM part")
+def q_sanitize_filename(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", text.safe_filename("p_name").alias("safe"))
+
+
+@query("""SELECT page_id, regexp_extract(html, 'href="([^"]*)"', 1) AS href, regexp_replace(regexp_extract(url, '[^/]*$'), '(.)[.][^.]*$', '\\1') AS stem, lower(regexp_extract(url, '[^/]([.][^./]*)$', 1)) AS suffix FROM pages""")
+def q_extract_url(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", 'href="([^"]*)"', 1).alias("href"), text.file_stem("url").alias("stem"), text.file_suffix("url").alias("suffix"))
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_type, '[A-Z ]') THEN p_type ELSE 'sans-serif' END AS family, contains(lower(p_type), 'bold') AS bold, CASE WHEN p_size * 20 < 382 THEN 'white' ELSE 'black' END AS stroke,
+CASE lower(p_brand) WHEN 'brand#11' THEN 'brand#11' WHEN 'brand#12' THEN 'brand#12' ELSE 'other' END AS brand FROM part""")
+def q_fonts_and_enums(spark, sf):
+    size = F.col("p_size")
+    return table(spark, sf, "part").select("p_partkey", text.font_family("p_type").alias("family"), text.is_bold("p_type").alias("bold"), text.stroke_colour(size * 10, size * 5, size * 5).alias("stroke"), text.enum_or("p_brand", ("brand#11", "brand#12"), "other").alias("brand"))
+
+
+@query("""SELECT o_orderkey, lower(lpad(printf('%X', o_orderkey), 16, '0')) AS hex_key, o_orderkey AS parsed, 'Translate ' || o_orderpriority || ' into English' AS prompt FROM orders""")
+def q_hex_and_prompt(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", text.hex_key("o_orderkey").alias("hex_key"), text.parse_hex_key(text.hex_key("o_orderkey")).alias("parsed"), text.prompt("Translate %s into %s", F.col("o_orderpriority"), F.lit("English")).alias("prompt"))
+
+
+@query("SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events")
+def q_json_extract(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(0)).cast("long").alias("k"))
+
+
+@query("SELECT doc_id, CAST(doc_id % 7 AS BIGINT) AS bubble_number, 'o' || doc_id AS original_text, upper(lang) AS translated_text, CAST(n_chars AS BIGINT) AS tokens FROM documents")
+def q_response_roundtrip(spark, sf):
+    """A vision response is built, JSON inside JSON, and parsed again."""
+    inner = F.to_json(F.struct(F.array(F.struct((F.col("doc_id") % 7).alias("bubble_number"), F.concat(F.lit("o"), "doc_id").alias("original_text"), F.upper("lang").alias("translated_text"))).alias("translations")))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(inner.alias("text"))).alias("parts")).alias("content"))).alias("candidates"), F.struct(F.col("n_chars").alias("promptTokenCount")).alias("usageMetadata")))
+    d = table(spark, sf, "documents").select("doc_id", body.alias("body"))
+    return d.select("doc_id", F.explode(writers.response_texts(F.col("body"))).alias("t"), writers.token_usage(F.col("body"), "promptTokenCount").alias("tokens")).select("doc_id", "t.bubble_number", "t.original_text", "t.translated_text", "tokens")
+
+
+@query("SELECT doc_id, 'data:image/png;base64,' || base64(encode(text)) AS url, strlen(text) AS n_bytes FROM documents")
+def q_data_url(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", text.data_url(F.encode("text", "UTF-8")).alias("url"))
+    return d.select("doc_id", "url", F.octet_length(text.from_data_url("url")).cast("long").alias("n_bytes"))
+
+
+@query("""SELECT o_orderkey, contains(o_orderpriority, '4') OR contains(o_orderpriority, '503') AS by_text, 400 + o_orderkey % 120 >= 500 OR 400 + o_orderkey % 120 = 429 AS by_status FROM orders""")
+def q_retryable(spark, sf):
+    message = F.when(F.col("o_orderpriority").contains("4"), F.lit("HTTP 429 quota")).otherwise(F.col("o_orderpriority"))
+    return table(spark, sf, "orders").select("o_orderkey", text.retryable(message).alias("by_text"), text.retryable_status(400 + F.col("o_orderkey") % 120).alias("by_status"))
+
+
+# ---------------------------------------------------------------- raster arithmetic
+
+
+@query("""WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, embedding[i + 1] > 0.15 AS m FROM embeddings, (SELECT unnest(range(0, 64)) AS i)),
+d AS (SELECT a.vec_id, a.y, a.x, bool_or(b.m) AS m FROM p a JOIN p b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL)
+SELECT vec_id, count(*) FILTER (m) AS n_on, round(100.0 * count(*) FILTER (m) / 64, 4) AS coverage FROM d GROUP BY vec_id""")
+def q_mask_dilate(spark, sf):
+    """Embeddings as 8 x 8 heat maps: mask and two rounds of dilation in Arrow batches."""
+    return table(spark, sf, "embeddings").select("vec_id", "embedding").mapInArrow(_dilated, "vec_id long, n_on long, coverage double")
+
+
+def _dilated(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        maps = np.array(batch.column(1).to_pylist(), np.float32).reshape(-1, 8, 8)
+        on = [int((raster.dilate(raster.mask_of(m, 0.15)) > 0).sum()) for m in maps]
+        yield pa.record_batch({"vec_id": batch.column(0), "n_on": pa.array(on, pa.int64()), "coverage": pa.array([round(100.0 * n / 64, 4) for n in on], pa.float64())})
+
+
+@query(f"""{DET} SELECT page_index, bubble_index, CAST(trunc(label * 100 * (score / 100.0::DOUBLE) + 200 * (1.0 - score / 100.0::DOUBLE)) AS INTEGER) AS blended,
+CAST(least(greatest(trunc((y2 - y1) * 0.15), 40), 80) AS INTEGER) AS panel, CAST(least(greatest(trunc(least(x2 - x1, y2 - y1) * 0.02), 2), 8) AS INTEGER) AS margin,
+CAST(greatest(ceil((x2 - x1) * 1.5 / 64) * 64, 256) AS INTEGER) AS fitted FROM det""")
+def q_raster_geometry(spark, sf):
+    w, h, a = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("score") / F.lit(100.0)
+    return detections(spark, sf).select("page_index", "bubble_index", raster.blend(F.col("label") * 100, F.lit(200), a).alias("blended"), raster.panel_width(h).alias("panel"), raster.text_margin(w, h).alias("margin"), raster.fitted_side(w, F.lit(1.5)).alias("fitted"))
+
+
+@query()
+def q_png_pages(spark, sf):
+    """Embeddings as grey images in PNG form."""
+    return table(spark, sf, "embeddings").select("vec_id", "embedding").mapInArrow(_pngs, "vec_id long, png binary").select("vec_id", text.data_url("png").alias("url"))
+
+
+def _pngs(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        maps = np.array(batch.column(1).to_pylist(), np.float32).reshape(-1, 8, 8)
+        yield pa.record_batch({"vec_id": batch.column(0), "png": pa.array([raster.png((np.clip(m, 0, 1) * 255).astype(np.uint8)) for m in maps], pa.binary())})
