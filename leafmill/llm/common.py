@@ -142,15 +142,18 @@ def slices(offsets: np.ndarray, most: int = 4 << 20) -> list[tuple[int, int]]:
 
 
 class Words:
-    """Word spans of some rows: starts and ends (byte offsets), and bounds[d]:bounds[d+1] of row d."""
+    """Word spans of some rows: starts and ends (byte offsets), and bounds[d]:bounds[d+1] of row d.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    `separators` says for each byte if it is one.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP):
         self.data, self.offsets = data, offsets
         if not len(data):
             self.starts = self.ends = np.zeros(0, np.int64)
             self.bounds = np.zeros(len(offsets), np.int64)
             return
-        sep = _SEP[data]
+        sep = separators[data]
         first, last = ~sep, ~sep
         first[1:] &= sep[:-1]
         last[:-1] &= sep[1:]

@@ -18,11 +18,14 @@ HEAD = struct.Struct("<4sIQIIQ")  # magic, documents, ids, ids a block, blocks,
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE, PAD = 15, 60
+_BITS16 = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 _N = np.array([0, *COUNTS, 1], np.int64)
 
 
 def widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id, 0 for 0."""
+    if len(ids) and int(ids.max()) < 1 << 16:
+        return _BITS16[ids]
     high = (ids >> np.uint64(32)).astype(np.float64)
     low = (ids & np.uint64(0xFFFFFFFF)).astype(np.float64)
     return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)

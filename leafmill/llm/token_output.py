@@ -6,7 +6,7 @@ store, and retried or speculative tasks leave no stray segment. A document's pla
 stream is the sum of the files before, of the segments before in its file, and of the documents before
 in its segment: two small sums, no global sort.
 
-Encoding keeps each distinct blank-separated piece's ids in a bounded cache of the worker: ids of a
+Encoding keeps the ids of distinct blank-separated pieces in a bounded table of the worker: ids of a
 text are those of its pieces, as the tokenizer never joins a piece across a single blank between
 two other characters. Texts with other runs of white space around blanks are cut by the
 tokenizer's own pattern instead.
@@ -23,31 +23,50 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import fresh_path, partitions
+from .common import Words, flat, fresh_path, partitions, slices
 
-#: White space but the blank; a blank beside one of these, or another blank, needs the tokenizer's own cut.
-_OTHER_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK = np.zeros(256, bool)
+_BLANK[32] = True
+_OTHER = np.zeros(256, bool)  # white space of one byte, but the blank
+_OTHER[[9, 10, 11, 12, 13, 28, 29, 30, 31]] = True
 
 
-def _plain(x: str) -> bool:
-    """Is each blank of the text between two characters that aren't white space?"""
-    if x[0] == " " or x[-1] == " " or "  " in x:
-        return False
-    return not any(c + " " in x or " " + c in x for c in (_OTHER_SPACES[:9] if x.isascii() else _OTHER_SPACES) if c in x)
+_NULL_ID = -(1 << 63)
 
 
-_NULL_ID = -(1 << 63)
+def unplain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows with a blank that isn't between two other characters, or with white space of several bytes."""
+    blank, other = data == 32, _OTHER[data]
+    bad = np.zeros(len(data) + 1, bool)
+    bad[:-2] |= (blank[:-1] & (blank | other)[1:]) | (other[:-1] & blank[1:])
+    filled = offsets[1:] > offsets[:-1]
+    bad[offsets[:-1][filled]] |= blank[offsets[:-1][filled]]
+    bad[offsets[1:][filled] - 1] |= blank[offsets[1:][filled] - 1]
+    at = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
+    if len(at):
+        x = np.concatenate([data, np.zeros(2, np.uint8)])
+        a, b, c = x[at], x[at + 1], x[at + 2]
+        wide = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+        wide |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        bad[at[wide]] = True
+    count = np.concatenate([[0], np.cumsum(bad[:-1])])
+    return count[offsets[1:]] > count[offsets[:-1]]
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers, with the end id."""
+    """Ids of texts, with the end id, a batch of rows at once.
+
+    Pieces are found by 64-bit hashes in a sorted table, whose entries point into a pool of ids. Beyond
+    `most` pieces, the half used longest ago goes before the next batch.
+    """
 
-    def __init__(self, path: str, end_id: int = 0, most_cached: int = 1_000_000):
+    def __init__(self, path: str, end_id: int = 0, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,17 +76,17 @@ class Encoder:
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: a character of its name is a byte
         for name, i in vocabulary.items():
             self.length[i] = len(name)
-        self.end, self.most = np.array([end_id], "<u4").tobytes(), most_cached
-        self.after_blank: dict[str, bytes] = {}
+        self.end, self.most, self.round = end_id, most, 0
+        self.known = np.zeros(0, np.uint64)
+        self.start = self.count = self.used = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
 
-    def each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def each(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Ids of " " + piece for new pieces: many at once, then cut by the tokens' lengths."""
-        new = list(pieces.difference(self.after_blank))
-        if len(self.after_blank) + len(new) > self.most:
-            self.after_blank, new = {}, list(pieces)
+    def compute(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of " " + piece, one after the other, and their counts: many at once, cut by the tokens' lengths."""
+        pools, counts = [], []
         parts = [new[i : i + 200] for i in range(0, len(new), 200)]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(x) for x in parts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
@@ -75,23 +94,74 @@ class Encoder:
             want = np.cumsum([len(x.encode()) + 1 for x in part])
             cut = np.searchsorted(ends, want)
             if len(ends) and ends[-1] == want[-1] and (ends[cut] == want).all():
-                raw, to = ids.tobytes(), ((cut + 1) * 4).tolist()
-                self.after_blank.update(zip(part, [raw[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)], strict=True))
+                counts.append(np.diff(cut + 1, prepend=0))
             else:
-                self.after_blank.update(zip(part, self.each([" " + x for x in part]), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for x in texts:
-            if not x:
-                cut.append([])
-            else:
-                cut.append(x.split(" ") if _plain(x) else None)
-        self.learn(set().union(*[c[1:] for c in cut if c]))
-        first = iter(self.each([c[0] for c in cut if c]))
-        slow = iter(self.each([x for x, c in zip(texts, cut, strict=True) if c is None]))
-        get = self.after_blank.__getitem__
-        return [(next(slow) if c is None else next(first) + b"".join(map(get, c[1:])) if c else b"") + self.end for c in cut]
+                got = self.each([" " + x for x in part])
+                ids = np.array([i for x in got for i in x], "<u4")
+                counts.append(np.array([len(x) for x in got], np.int64))
+            pools.append(ids)
+        return np.concatenate(pools), np.concatenate(counts)
+
+    def forget(self) -> None:
+        """Keeps the pieces used latest, half of them at most."""
+        keep = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        n = self.count[keep]
+        ends = np.cumsum(n)
+        self.pool = self.pool[np.repeat(self.start[keep] - (ends - n), n) + np.arange(int(n.sum()))]
+        self.known, self.count, self.used, self.start = self.known[keep], n, self.used[keep], ends - n
+
+    def learn(self, h: np.ndarray, new: list[str]) -> None:
+        """Adds new pieces of the (sorted) hashes to the table."""
+        ids, counts = self.compute(new)
+        at = np.searchsorted(self.known, h)
+        start = len(self.pool) + np.cumsum(counts) - counts
+        self.pool = np.concatenate([self.pool, ids])
+        self.known, self.start = np.insert(self.known, at, h), np.insert(self.start, at, start)
+        self.count, self.used = np.insert(self.count, at, counts), np.insert(self.used, at, np.full(len(h), self.round))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted hashes in the table, and which are there."""
+        at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
+        return at, (self.known[at] == h if len(self.known) else np.zeros(len(h), bool))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, and their counts."""
+        self.round += 1
+        if len(self.known) > self.most:
+            self.forget()
+        n = len(offsets) - 1
+        slow = unplain(data, offsets)
+        w = Words(data, offsets, _BLANK)
+        row = np.repeat(np.arange(n), np.diff(w.bounds))
+        head = np.zeros(len(row), bool)
+        head[w.bounds[:-1][np.diff(w.bounds) > 0]] = True
+        use = np.flatnonzero(~slow[row] & ~head)
+        u, first, inverse = np.unique(w.hashes()[use], return_index=True, return_inverse=True)
+        at, there = self.find(u)
+        if not there.all():
+            spot = use[first[~there]]
+            raw = data.tobytes()
+            self.learn(u[~there], [raw[a:b].decode() for a, b in zip(w.starts[spot].tolist(), w.ends[spot].tolist(), strict=True)])
+            at, there = self.find(u)
+        self.used[at] = self.round
+
+        # Heads have no blank before them, and rows with other runs of white space are cut by the tokenizer.
+        heads = np.flatnonzero(head & ~slow[row])
+        rest = np.flatnonzero(slow)
+        text = data.tobytes()
+        alone = self.each([text[w.starts[i] : w.ends[i]].decode() for i in heads.tolist()] + [text[offsets[i] : offsets[i + 1]].decode() for i in rest.tolist()])
+        extra = np.array([i for x in alone for i in x] + [self.end], "<u4")
+        sizes = np.array([len(x) for x in alone], np.int64)
+        begins = len(self.pool) + np.cumsum(sizes) - sizes
+        ends = np.full(n, len(self.pool) + len(extra) - 1)
+        # In the order of rows: the head or the whole row, then the pieces, then the end id.
+        rows = np.concatenate([row[heads], rest, row[use], np.arange(n)])
+        order = np.argsort(rows, kind="stable")
+        start = np.concatenate([begins, self.start[at][inverse], ends])[order]
+        count = np.concatenate([sizes, self.count[at][inverse], np.ones(n, np.int64)])[order]
+        to = np.cumsum(count)
+        ids = np.concatenate([self.pool, extra])[np.repeat(start - (to - count), count) + np.arange(int(count.sum()))]
+        return ids, np.bincount(rows[order], weights=count, minlength=n).astype(np.int64)
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -107,26 +177,15 @@ def _encoder(path: str, end_id: int) -> Encoder:
 def _segments(path: str, end_id: int, seg_bytes: int):
     def run(batches):
         encoder, file, seq = _encoder(path, end_id), TaskContext.get().partitionId(), 0
-        ids, texts, size = [], [], 0
-
-        def flush():
-            nonlocal ids, texts, size, seq
-            coded = encoder.encode(texts)
-            counts = np.array([len(x) // 4 for x in coded], np.int64)
-            raw = simple8b.write_segment(np.array([_NULL_ID if x is None else x for x in ids], np.int64), counts, np.frombuffer(b"".join(coded), "<u4"))
-            row = pa.record_batch({"file": pa.array([file], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([int(counts.sum())], pa.int64()), "segment": pa.array([raw], pa.binary())})
-            ids, texts, size, seq = [], [], 0, seq + 1
-            return row
 
         for batch in batches:
-            for i, x in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(x)
-                size += len(x or "")
-                if size >= seg_bytes or len(ids) >= 65_536:
-                    yield flush()
-        if ids:
-            yield flush()
+            data, offsets = flat(batch.column(1))
+            keys = pc.fill_null(batch.column(0), _NULL_ID).to_numpy(zero_copy_only=False)
+            for i, j in slices(offsets, seg_bytes):
+                ids, counts = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                raw = simple8b.write_segment(keys[i:j], counts, ids)
+                yield pa.record_batch({"file": pa.array([file], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "segment": pa.array([raw], pa.binary())})
+                seq += 1
 
     return run
 
