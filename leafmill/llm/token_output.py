@@ -201,11 +201,12 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, id_
 
 def _documents(batches):
     for batch in batches:
-        for start, raw in zip(batch["start"].to_pylist(), batch["segment"], strict=True):
+        for file, seq, raw in zip(batch["file"].to_pylist(), batch["seq"].to_pylist(), batch["segment"], strict=True):
             doc_ids, counts, ids = simple8b.read_segment(raw.as_buffer())
             flat, ends = ids.astype("<u4"), np.cumsum(counts)
             crc = [zlib.crc32(flat[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-            yield pa.record_batch({"doc_id": pa.array(doc_ids, mask=doc_ids == _NULL_ID), "start": pa.array(start + ends - counts), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())})
+            place = [pa.array(np.full(len(doc_ids), x, np.int32)) for x in (file, seq)]
+            yield pa.record_batch({"file": place[0], "seq": place[1], "doc_id": pa.array(doc_ids, mask=doc_ids == _NULL_ID), "start": pa.array(ends - counts), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())})
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -216,8 +217,10 @@ def read_tokens(spark, path: str) -> DataFrame:
     sums = sums.withColumn("__file_start", F.coalesce(F.sum("of_file").over(before), F.lit(0))).select("file", "__file_start")
     within = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("file", "seq", "n_ids").withColumn("__seg_start", F.coalesce(F.sum("n_ids").over(within), F.lit(0)))
-    starts = starts.join(sums, "file").select("file", "seq", (F.col("__file_start") + F.col("__seg_start")).alias("start"))
-    return files.join(starts, ["file", "seq"]).select("start", "segment").mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = starts.join(sums, "file").select("file", "seq", (F.col("__file_start") + F.col("__seg_start")).alias("__start"))
+    # Segments are decoded where they are read; only a narrow row a document meets the starts.
+    rows = files.select("file", "seq", "segment").mapInArrow(_documents, "file int, seq int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.join(starts, ["file", "seq"]).select("doc_id", (F.col("start") + F.col("__start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
