@@ -79,7 +79,7 @@ class Encoder:
         self.end, self.most, self.round = end_id, most, 0
         self.known = np.zeros(0, np.uint64)
         self.start = self.count = self.used = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, "<u4")
+        self.pool, self.size = np.zeros(1 << 20, "<u4"), 0  # `size` ids of it are in use
 
     def each(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,20 +102,29 @@ class Encoder:
             pools.append(ids)
         return np.concatenate(pools), np.concatenate(counts)
 
+    def put(self, ids: np.ndarray) -> int:
+        """Writes ids behind those in use and returns their place."""
+        end = self.size + len(ids)
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.size], np.zeros(max(end, self.size), "<u4")])
+        self.pool[self.size : end] = ids
+        return self.size
+
     def forget(self) -> None:
         """Keeps the pieces used latest, half of them at most."""
         keep = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
         n = self.count[keep]
         ends = np.cumsum(n)
         self.pool = self.pool[np.repeat(self.start[keep] - (ends - n), n) + np.arange(int(n.sum()))]
+        self.size = len(self.pool)
         self.known, self.count, self.used, self.start = self.known[keep], n, self.used[keep], ends - n
 
     def learn(self, h: np.ndarray, new: list[str]) -> None:
         """Adds new pieces of the (sorted) hashes to the table."""
         ids, counts = self.compute(new)
         at = np.searchsorted(self.known, h)
-        start = len(self.pool) + np.cumsum(counts) - counts
-        self.pool = np.concatenate([self.pool, ids])
+        start = self.put(ids) + np.cumsum(counts) - counts
+        self.size += len(ids)
         self.known, self.start = np.insert(self.known, at, h), np.insert(self.start, at, start)
         self.count, self.used = np.insert(self.count, at, counts), np.insert(self.used, at, np.full(len(h), self.round))
 
@@ -152,15 +161,15 @@ class Encoder:
         alone = self.each([text[w.starts[i] : w.ends[i]].decode() for i in heads.tolist()] + [text[offsets[i] : offsets[i + 1]].decode() for i in rest.tolist()])
         extra = np.array([i for x in alone for i in x] + [self.end], "<u4")
         sizes = np.array([len(x) for x in alone], np.int64)
-        begins = len(self.pool) + np.cumsum(sizes) - sizes
-        ends = np.full(n, len(self.pool) + len(extra) - 1)
+        begins = self.put(extra) + np.cumsum(sizes) - sizes  # for this batch only
+        ends = np.full(n, self.size + len(extra) - 1)
         # In the order of rows: the head or the whole row, then the pieces, then the end id.
         rows = np.concatenate([row[heads], rest, row[use], np.arange(n)])
         order = np.argsort(rows, kind="stable")
         start = np.concatenate([begins, self.start[at][inverse], ends])[order]
         count = np.concatenate([sizes, self.count[at][inverse], np.ones(n, np.int64)])[order]
         to = np.cumsum(count)
-        ids = np.concatenate([self.pool, extra])[np.repeat(start - (to - count), count) + np.arange(int(count.sum()))]
+        ids = self.pool[np.repeat(start - (to - count), count) + np.arange(int(count.sum()))]
         return ids, np.bincount(rows[order], weights=count, minlength=n).astype(np.int64)
 
 
