@@ -95,3 +95,28 @@ def mix_sources(
     out = out.withColumn("repeats", F.when(F.col("size") > 0, F.col("__whole") + F.col("__extra")).otherwise(F.lit(0.0)))
     out = out.withColumn("taken", (F.col("__whole") * F.col("size") + F.floor(F.col("__extra") * F.col("size"))).cast("long"))
     return out.drop("__src", "__cell", "__plan_src", "__whole", "__cut", "__extra")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+    CAST(floor(CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * 4096) AS INTEGER) AS cell
+  FROM documents),
+g AS (SELECT source, cell, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY ALL),
+s AS (SELECT source, CAST(sum(n) AS BIGINT) AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM g GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][1 + CAST(k % 3 AS INTEGER)] AS weight FROM s),
+f AS (SELECT *, 2.0::DOUBLE * size / weight AS fill, 1.5::DOUBLE * sum(size) OVER () AS budget FROM w),
+l AS (
+  SELECT *, greatest(budget - coalesce(sum(2.0::DOUBLE * size) OVER b, 0), 0) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM f WINDOW b AS (ORDER BY fill, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT (SELECT level FROM l WHERE level <= fill ORDER BY fill, k LIMIT 1) AS level),
+t AS (SELECT source, size AS source_size, CAST(least(2.0::DOUBLE * size, coalesce(m.level, fill) * weight) AS DOUBLE) AS target FROM l, m),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+c AS (SELECT source, cell, n, coalesce(sum(n) OVER (PARTITION BY source ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+x AS (
+  SELECT c.source, max_by({'cell': cell, 'part': (target - whole * source_size - before)::DOUBLE / n}, cell) AS cut
+  FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source WHERE before <= target - whole * source_size AND n > 0 GROUP BY c.source)
+SELECT doc_id, d.size, source_size, target,
+  CAST(whole * d.size + floor(CASE WHEN whole >= 2 THEN 0 WHEN cell < cut.cell THEN 1 WHEN cell = cut.cell THEN least(cut.part, 1) ELSE 0 END * d.size) AS BIGINT) AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN x ON x.source IS NOT DISTINCT FROM d.source
+"""

@@ -66,6 +66,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_source_mixing": mixing.ORACLE,
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op3_url_filter": url_filter.ORACLE,
     "op4_host_rules": host_rules.ORACLE,
 }

@@ -172,3 +172,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     done = dealt.groupBy(SEG).cogroup(answers.groupBy(SEG)).applyInArrow(_settle(names, text_col, window, bits, report), out)
     return done if report else done.select(*docs.columns)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i : i + 49], ' ')))) AS h FROM d WHERE len(w) >= 50),
+f AS (SELECT h, min(doc_id) AS first FROM p GROUP BY h),
+r AS (SELECT DISTINCT doc_id, i + o AS i FROM p JOIN f USING (h), (SELECT unnest(range(0, 50)) AS o) WHERE doc_id > first),
+u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM u ANTI JOIN r USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
