@@ -8,12 +8,17 @@ similarity, and the number of equal coordinates is concentrated as with independ
 
 Steps, all in Spark: (1) texts become a signature: size and 128-bit hash of the shingle set, and a
 hash for each of 32 bands of 4 coordinates; equal sets collapse to one node, the smallest id, so exact
-copies cost one partial aggregate. (2) A band bucket of two nodes or more links its nodes to its smallest node:
+copies cost one partial aggregate. (2) A band bucket of two nodes or more links its nodes to its smallest node, the hub:
 candidate edges, at most one for each node and band, never pairs. (3) Connected components of these edges
 hold all nodes that share a bucket. (4) Inside a candidate component, the links are confirmed on the full
 shingle sets: sketches can't rule a pair out, but the sizes and an index of the shingles can, exactly.
-Components of more than `block_nodes` nodes or `block_shingles` shingles are dealt to tasks by pairs of
-blocks of nodes, so a task's memory stays bounded; a task returns a spanning forest of the confirmed links, not the links. (5) Components of the forests give the result.
+A component of at most `cell_nodes` nodes and `cell_shingles` shingles is one task's cell. A larger one is
+cut into such cells around hubs: a node goes to the hub that it shares most bands with, and a hub is in all cells
+of its own. (5) Components of the cells' links are clusters. Only where a larger component has several clusters,
+nodes of different clusters are still compared, by pairs of blocks of nodes: a large cluster has blocks of its own,
+which aren't paired with each other, so one giant group and some strays cost the group's size times the strays', not its
+square. A task's memory is bounded, and it returns a spanning forest of the confirmed links, not the links.
+(6) Components of clusters and new links give the result.
 
 A link at the threshold of 0.85 shares no band with a chance of (1 - 0.85**4)**32, about 6e-11.
 
@@ -27,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, flat, mix, rolling_in_rows, slices, whole, written
@@ -103,24 +108,25 @@ def _signatures(k: int, rows: int):
 
 
 def _links(k: int, percent: int):
-    """Confirmed links within a group of nodes, or between its blocks: a spanning forest of them."""
+    """Confirmed links within a group of nodes that connect what `cluster` (if there) doesn't: a spanning forest of them."""
 
     def run(t: pa.Table) -> pa.Table:
         ids = t["id"].to_numpy()
+        known = t["cluster"].to_pylist() if "cluster" in t.column_names else None
         sets = []
         for _, counts, s in shingle_sets(t["text"], k):
             sets += np.split(s, np.cumsum(counts)[:-1]) if len(counts) else []
-        return pa.table(dict(zip(("u", "v"), (pa.array(x, pa.int64()) for x in forest(ids, sets, percent)), strict=True)))
+        return pa.table(dict(zip(("u", "v"), (pa.array(x, pa.int64()) for x in forest(ids, sets, percent, known)), strict=True)))
 
     return run
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> tuple[list[int], list[int]]:
     """Edges of a spanning forest of the links 100 |A & B| >= percent |A | B| among sets of hashes.
 
     Sets in order of size meet, through an index, only earlier sets that share one of their rarest
     hashes: of a set of n, any n - ceil(percent n / 100) + 1 hashes must hit a set that it is linked with.
-    Pairs that are already connected are not looked at again.
+    Pairs that are already connected, by earlier links or by one value of `known`, are not looked at again.
     """
     m = len(sets)
     size = np.array([len(x) for x in sets])
@@ -137,6 +143,10 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[
     for i, x in enumerate(ids.tolist()):  # rows of one id are one document
         if by_id.setdefault(x, i) != i:
             parent[root(i)] = root(by_id[x])
+    by_cluster: dict[int, int] = {}
+    for i, x in enumerate(known or ()):
+        if by_cluster.setdefault(x, i) != i:
+            parent[root(i)] = root(by_cluster[x])
     _, rank, often = np.unique(np.concatenate(sets) if m else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
     ends = np.cumsum(size)
     order = np.argsort(size, kind="stable").tolist()
@@ -170,7 +180,46 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[
     return u, v
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85, block_nodes: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
+def _parts(nodes: str, shingles: str, most_nodes: int, most_shingles: int) -> Column:
+    """Number of cells or blocks of bounded size that a group is cut into."""
+    return F.ceil(F.greatest(F.col(nodes) / F.lit(float(most_nodes)), F.col(shingles) / F.lit(float(most_shingles)))).cast("int")
+
+
+def _cells(members: DataFrame, edges: DataFrame, nodes: int, shingles: int) -> DataFrame:
+    """(node, k, part, large): the cells in which links are looked for first; members have (node, n, cc, large)."""
+    small = members.filter(~F.col("large")).select("node", F.col("cc").alias("k"), F.lit(0).alias("part"), "large")
+    guide = edges.groupBy(F.col("u").alias("node")).agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("k"))
+    guided = members.filter("large").join(guide, "node").select("node", "n", "k")
+    hubs = guided.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    hubs = written(hubs.select("k", _parts("m", "s", nodes, shingles).alias("parts")), "hubs")
+    own = guided.join(hubs, "k").select("node", "k", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("large"))
+    hub = hubs.select(F.col("k").alias("node"), "k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("large"))
+    return small.unionByName(own).unionByName(hub)
+
+
+def _block_pairs(members: DataFrame, clusters: DataFrame, nodes: int, shingles: int) -> DataFrame:
+    """(node, cluster, cc, a, b): blocks to compare of components with several clusters; members have (node, n, cc)."""
+    placed = members.join(clusters, "node", "left").select("node", "n", "cc", F.coalesce("component", "node").alias("cluster"))
+    sizes = written(placed.groupBy("cc", "cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")), "cluster-sizes")
+    several = sizes.groupBy("cc").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("cc")
+    # Clusters of a block or more are lanes of their own; all others of a component share one lane.
+    lane = F.when((F.col("m") >= nodes) | (F.col("s") >= shingles), F.col("cluster").cast("string")).otherwise("")
+    laned = written(sizes.join(several, "cc").withColumn("lane", lane), "lanes")
+    parts = laned.groupBy("cc", "lane").agg(F.sum("m").alias("m"), F.sum("s").alias("s")).select("cc", "lane", _parts("m", "s", nodes, shingles).alias("parts"))
+    lanes = written(parts, "lane-parts")
+    number = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    at = placed.join(laned.select("cc", "cluster", "lane"), ["cc", "cluster"]).join(lanes, ["cc", "lane"])
+    at = written(at.select("node", "cluster", "cc", F.struct("lane", number.alias("number")).alias("block")), "blocks")
+    blocks = lanes.select("cc", "lane", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("number")).select("cc", F.struct("lane", "number").alias("block"))
+    a, b = blocks.withColumnRenamed("block", "a"), blocks.withColumnRenamed("block", "b")
+    pairs = a.join(b, "cc").filter((F.col("a") <= F.col("b")) & ((F.col("a.lane") != F.col("b.lane")) | (F.col("a.lane") == "")))
+    pairs = written(pairs, "block-pairs")
+    ends = pairs.select("cc", F.col("a").alias("block"), "a", "b").unionByName(pairs.filter("a != b").select("cc", F.col("b").alias("block"), "a", "b"))
+    text = lambda x: F.concat_ws("/", f"{x}.lane", f"{x}.number").alias(x)
+    return at.join(ends, ["cc", "block"]).select("node", "cluster", "cc", text("a"), text("b"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85, cell_nodes: int = 512, cell_shingles: int = 1_000_000, block_nodes: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(source.mapInArrow(_signatures(k, ROWS), "id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
@@ -183,25 +232,32 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at_node = some.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     entries = at_node.select(F.col("id").alias("node"), F.explode("bands").alias("bucket"))
     hubs = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter(F.col("hub") != F.col("most")).select("bucket", "hub")
-    edges = entries.join(hubs, "bucket").filter(F.col("node") != F.col("hub")).select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    hubs = written(hubs, "buckets")  # then AQE may split a bucket with very many nodes
+    edges = entries.join(hubs, "bucket").filter(F.col("node") != F.col("hub")).groupBy(F.col("node").alias("u"), F.col("hub").alias("v")).agg(F.count(F.lit(1)).alias("shared"))
+    edges = written(edges, "edges")
     # Ids whose rows have different sets hang together through the id.
     split_ids = nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter(F.col("a") != F.col("b"))
     split_ids = split_ids.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    candidates = components(edges.unionByName(split_ids), label="candidates")
+    candidates = components(edges.select("u", "v").unionByName(split_ids), label="candidates")
 
     sizes = nodes.groupBy("node").agg(F.max("n").alias("n"))
     members = candidates.join(sizes, "node").withColumnRenamed("component", "cc")
     groups = members.groupBy("cc").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
-    blocks = F.ceil(F.greatest(F.col("m") / F.lit(float(block_nodes)), F.col("s") / F.lit(float(block_shingles)))).cast("int")
-    members = members.join(groups.select("cc", blocks.alias("nb")), "cc")
-    mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    pairs = F.when(F.col("nb") <= 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, mine).alias("a"), F.greatest(o, mine).alias("b")))
-    )
-    members = written(members.select("node", "cc", pairs.alias("pairs")), "members")
-    texts = source.join(members, source["id"] == members["node"]).select("id", "text", "cc", F.explode("pairs").alias("p"))
-    forests = texts.select("id", "text", "cc", "p.a", "p.b").groupBy("cc", "a", "b").applyInArrow(_links(k, percent), "u long, v long")
-    linked = components(forests.unionByName(split_ids), label="links").withColumnRenamed("node", "__linked")
+    large = (F.col("m") > cell_nodes) | (F.col("s") > cell_shingles)
+    members = written(members.join(groups.select("cc", large.alias("large")), "cc").select("node", "n", "cc", "large"), "members")
+
+    cells = written(_cells(members, edges, cell_nodes, cell_shingles), "cells")
+    texts = source.join(cells, source["id"] == cells["node"]).select("id", "text", "k", "part", "large")
+    forests = texts.groupBy("k", "part", "large").applyInArrow(_links(k, percent), "u long, v long")
+    linked = components(forests.unionByName(split_ids), label="clusters")
+    loose = members.filter("large").drop("large")
+    if not loose.isEmpty():
+        linked = written(linked, "clusters")
+        pairs = written(_block_pairs(loose, linked, block_nodes, block_shingles), "compared")
+        texts = source.join(pairs, source["id"] == pairs["node"]).select("id", "text", "cluster", "cc", "a", "b")
+        more = texts.groupBy("cc", "a", "b").applyInArrow(_links(k, percent), "u long, v long")
+        linked = components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), label="links")
+    linked = linked.withColumnRenamed("node", "__linked")
 
     of_id = nodes.groupBy("id").agg(F.min("node").alias("node"))
     label = of_id.join(linked, of_id["node"] == linked["__linked"], "left").select(F.col("id").alias("__node"), F.coalesce("component", "node").alias("component"))

@@ -356,14 +356,23 @@ def test_near_dedup(spark, table):
     assert sorted(map(tuple, got)) == linked([(r["doc_id"], r["text"]) for r in table])
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_near_dedup_groups_and_blocks(spark, block):
+@pytest.mark.parametrize(("cell", "block"), [(512, 4096), (6, 4096), (6, 7)])
+def test_near_dedup_groups_and_blocks(spark, cell, block):
     given = near_copies(25, 8)
     df = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
-    got = near_dedup.near_dedup(df, block_nodes=block).collect()
+    got = near_dedup.near_dedup(df, cell_nodes=cell, block_nodes=block).collect()
     assert sorted(map(tuple, got)) == linked(given)
 
 
+def test_links_between_known_clusters():
+    """Nodes of one known cluster need no link; a link between clusters is still found."""
+    ids, base = np.arange(4), np.arange(100, dtype=np.uint64)
+    sets = [base, base + np.uint64(3), base + np.uint64(200), np.concatenate([base[:-5], base[:5] + np.uint64(900)])]
+    assert near_dedup.forest(ids, sets, 85, known=[0, 0, 2, 0]) == ([], [])
+    u, v = near_dedup.forest(ids, sets, 85, known=[0, 0, 2, 3])
+    assert len(u) == 1 and {u[0], v[0]} in ({0, 3}, {1, 3})
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64)) for _ in range(2))
