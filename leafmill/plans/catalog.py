@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, params, raster, text
 from ..operators import batching, exchange, geometry, health, metrics, regions, sequence
 from ..session import table
-from ..sources import writers
+from ..sources import readers, writers
 from .relations import CALLS_SQL, DET_SQL, calls, detections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -561,3 +561,144 @@ def _pngs(batches):
     for batch in batches:
         maps = np.array(batch.column(1).to_pylist(), np.float32).reshape(-1, 8, 8)
         yield pa.record_batch({"vec_id": batch.column(0), "png": pa.array([raster.png((np.clip(m, 0, 1) * 255).astype(np.uint8)) for m in maps], pa.binary())})
+
+
+def _maps(batches, of, names: tuple[str, ...], kinds: tuple[str, ...]):
+    """Record batches of vec_id and `of(8 x 8 map)` for batches of (vec_id, embedding)."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [of(np.array(e, np.float64).reshape(8, 8)) for e in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], names=["vec_id", *names])
+
+
+def _upscaled_sql(corners: bool) -> str:
+    at = "i * 7 / 14.0::DOUBLE" if corners else "least(i * 8 / 15.0::DOUBLE, 7)"
+    return f"""SELECT vec_id, round(sum(v), 4) AS total, count(*) FILTER (v > 0.1) AS n_on FROM (
+  SELECT vec_id, (e[8 * y0 + x0 + 1] * (1 - fx) + e[8 * y0 + x1 + 1] * fx) * (1 - fy) + (e[8 * y1 + x0 + 1] * (1 - fx) + e[8 * y1 + x1 + 1] * fx) * fy AS v
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    (SELECT CAST(floor(p) AS INT) AS y0, CAST(least(floor(p) + 1, 7) AS INT) AS y1, p - floor(p) AS fy FROM (SELECT {at} AS p FROM (SELECT unnest(range(0, 15)) AS i))),
+    (SELECT CAST(floor(p) AS INT) AS x0, CAST(least(floor(p) + 1, 7) AS INT) AS x1, p - floor(p) AS fx FROM (SELECT {at} AS p FROM (SELECT unnest(range(0, 15)) AS i)))) GROUP BY vec_id"""
+
+
+def _upscaled(spark, sf, corners: bool) -> DataFrame:
+    def of(m):
+        wide = raster.resize_bilinear(m, 15, 15, corners)
+        return round(float(wide.sum()), 4), int((raster.mask_of(wide, 0.1) > 0).sum())
+
+    d = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return d.mapInArrow(lambda b: _maps(b, of, ("total", "n_on"), ("double", "int64")), "vec_id long, total double, n_on long")
+
+
+@query(_upscaled_sql(True))
+def q_upscaled_corners(spark, sf):
+    """8 x 8 heat maps at 15 x 15, corners aligned, and their masks."""
+    return _upscaled(spark, sf, True)
+
+
+@query(_upscaled_sql(False))
+def q_upscaled_ratio(spark, sf):
+    """8 x 8 heat maps at 15 x 15, by the ratio of the sizes."""
+    return _upscaled(spark, sf, False)
+
+
+@query("""SELECT label, i AS pos, max(embedding[i + 1]) AS v, bool_or(embedding[i + 1] > 0.15) AS masked FROM embeddings, (SELECT CAST(unnest(range(0, 64)) AS INTEGER) AS i) GROUP BY label, i""")
+def q_heat_max_by_label(spark, sf):
+    """Element-wise largest value of a label's heat maps, and the union of their masks: partial aggregates of pixels."""
+    e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
+    return e.groupBy("label", "pos").agg(F.max("v").alias("v"), F.bool_or(F.col("v") > 0.15).alias("masked"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x FROM embeddings, (SELECT unnest(range(0, 64)) AS i) WHERE embedding[i + 1] > 0.15),
+r AS (SELECT vec_id, y * 8 + x AS root, y, x FROM p UNION SELECT p.vec_id, r.root, p.y, p.x FROM r JOIN p ON p.vec_id = r.vec_id AND abs(p.y - r.y) <= 1 AND abs(p.x - r.x) <= 1),
+c AS (SELECT vec_id, y, x, min(root) AS part FROM r GROUP BY ALL),
+b AS (SELECT vec_id, part, (max(x) + 1 - min(x)) * (max(y) + 1 - min(y)) AS area FROM c GROUP BY ALL)
+SELECT e.vec_id, count(area) AS n_boxes, CAST(coalesce(sum(area), 0) AS BIGINT) AS area FROM embeddings e LEFT JOIN b ON b.vec_id = e.vec_id AND area >= 4 GROUP BY e.vec_id""")
+def q_mask_contours(spark, sf):
+    """Boxes of the connected parts of each mask, of an area of 4 at least."""
+    def of(m):
+        boxes = raster.bounding_boxes(raster.mask_of(m, 0.15), 4)
+        return len(boxes), sum((x2 - x1) * (y2 - y1) for x1, y1, x2, y2 in boxes)
+
+    d = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return d.mapInArrow(lambda b: _maps(b, of, ("n_boxes", "area"), ("int64", "int64")), "vec_id long, n_boxes long, area long")
+
+
+_WHITE = "count(*) FILTER (embedding[i + 1] >= 0.05 AND i // 8 BETWEEN 1 AND 3 AND i % 8 BETWEEN 1 AND 3) + count(*) FILTER (embedding[i + 1] >= 0.05 AND i // 8 BETWEEN 2 AND 6 AND i % 8 BETWEEN 2 AND 6)"
+
+
+@query(f"""SELECT vec_id, {_WHITE} AS white, CAST(34 AS BIGINT) AS total, CASE WHEN ({_WHITE}) / 34.0::DOUBLE >= 0.4 THEN 'Simple' ELSE 'Complex' END AS background_type
+FROM embeddings, (SELECT unnest(range(0, 64)) AS i) GROUP BY vec_id""")
+def q_white_ratio(spark, sf):
+    """White pixels of two overlapping child boxes inside a parent box, on embeddings as images."""
+    import numpy as np
+
+    def of(m):
+        image = np.repeat(np.where(m.astype(np.float32) >= np.float32(0.05), 255, 0)[..., None], 3, axis=2)
+        return raster.white_share(image, (1, 1, 7, 7), [(0, 0, 4, 4), (2, 2, 8, 8)])
+
+    d = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    shares = d.mapInArrow(lambda b: _maps(b, of, ("white", "total"), ("int64", "int64")), "vec_id long, white long, total long")
+    return shares.withColumn("background_type", regions.background(F.col("white"), F.col("total"), 0.4))
+
+
+@query("""SELECT vec_id, array_to_string([CASE WHEN embedding[(i % 8) * 8 + 8 - i // 8] > 0.15 THEN 1 ELSE 0 END for i in range(0, 64)], '') AS bits FROM embeddings""")
+def q_rotated_masks(spark, sf):
+    """Masks turned left by 90 degrees."""
+    def of(m):
+        return ("".join("1" if v else "0" for v in (raster.rotate_left(raster.mask_of(m, 0.15)) > 0).ravel()),)
+
+    d = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return d.mapInArrow(lambda b: _maps(b, of, ("bits",), ("string",)), "vec_id long, bits string")
+
+
+@query(f"{DET} SELECT page_index, bubble_index, greatest(x1 - 5, 0) AS x1, greatest(y1 - 5, 0) AS y1, least(x2 + 5, 400) AS x2, least(y2 + 5, 300) AS y2 FROM det")
+def q_padded_boxes(spark, sf):
+    d = detections(spark, sf).withColumns({"x1": F.col("x1") - 5, "y1": F.col("y1") - 5, "x2": F.col("x2") + 5, "y2": F.col("y2") + 5})
+    return d.withColumns(geometry.clamped(400, 300)).select("page_index", "bubble_index", *geometry.BOX)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 < 2 THEN url || CASE page_id % 3 WHEN 0 THEN '.woff2' ELSE '.ttf' END END AS font, [trim(x) for x in string_split(url, '/') if trim(x) <> ''] AS keys FROM pages")
+def q_font_css_and_keys(spark, sf):
+    """Font URLs out of style sheets, and lists of keys."""
+    kind = F.element_at(F.array(F.lit(".woff2"), F.lit(".ttf"), F.lit(".svg")), (F.col("page_id") % 3 + 1).cast("int"))
+    css = F.concat(F.lit("@font-face {\n  src: url('"), "url", kind, F.lit("') format('x');\n}"))
+    return table(spark, sf, "pages").select("page_id", text.css_font_url(css).alias("font"), text.key_list(F.concat(F.lit(" ,"), F.replace("url", F.lit("/"), F.lit(" , ")))).alias("keys"))
+
+
+@query("SELECT p_partkey, list_max([s for s in range(7, 73) if s * length(p_name) <= 600]) AS size FROM part")
+def q_largest_font(spark, sf):
+    """Largest of the sizes 7 to 72 at which the name fits in 600 units."""
+    wide = F.length("p_name")
+    sizes = F.sequence(F.lit(7).cast("long"), F.lit(72).cast("long"))
+    return table(spark, sf, "part").select("p_partkey", raster.largest_fitting(sizes, lambda s: s * wide <= 600).alias("size"))
+
+
+@query(f"{CALLS} SELECT event_type, count(*) FILTER (ok) AS hits, count(*) FILTER (NOT ok) AS misses, count(*) FILTER (ok) / count(*) AS hit_rate FROM calls GROUP BY event_type")
+def q_cache_hit_rate(spark, sf):
+    c = calls(spark, sf).groupBy("event_type").agg(F.count_if("ok").alias("hits"), F.count_if(~F.col("ok")).alias("misses"))
+    return c.withColumn("hit_rate", metrics.hit_rate(F.col("hits"), F.col("misses")))
+
+
+@query("SELECT n_nationkey AS \"key\", n_name AS original_text, 'region ' || n_regionkey AS translated_text FROM nation")
+def q_cache_file_roundtrip(spark, sf):
+    """A cache written as one JSON map of hexadecimal keys, and read back."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("original_text"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("translated_text"))
+    return readers.cache_entries(writers.cache_json(n))
+
+
+@query("SELECT doc_id, doc_id AS id, coalesce(lang, '') || '-' || doc_id AS text FROM documents")
+def q_structured_output(spark, sf):
+    body = F.to_json(F.struct(F.array(F.struct(F.col("doc_id").alias("id"), F.concat(F.coalesce("lang", F.lit("")), F.lit("-"), F.col("doc_id").cast("string")).alias("text"))).alias("translations")))
+    return table(spark, sf, "documents").select("doc_id", F.explode(writers.structured_texts(body)).alias("t")).select("doc_id", "t.id", "t.text")
+
+
+@query("SELECT doc_id, strlen(text) AS n_bytes, md5(text) AS digest FROM documents")
+def q_inline_image(spark, sf):
+    """Inline data of a vision request and of the response that echoes it, decoded again."""
+    request = writers.request_body(F.lit("Echo"), F.array(F.encode("text", "UTF-8")))
+    data = F.get_json_object(request, "$.contents[0].parts[1].inline_data.data")
+    body = F.concat(F.lit('{"candidates":[{"content":{"parts":[{"inline_data":{"data":"'), data, F.lit('"}}]}}]}'))
+    d = table(spark, sf, "documents").select("doc_id", writers.response_image(body).alias("image"))
+    return d.select("doc_id", F.octet_length("image").cast("long").alias("n_bytes"), F.md5("image").alias("digest"))
