@@ -681,7 +681,7 @@ def q_cache_hit_rate(spark, sf):
     return c.withColumn("hit_rate", metrics.hit_rate(F.col("hits"), F.col("misses")))
 
 
-@query("SELECT n_nationkey AS \"key\", n_name AS original_text, 'region ' || n_regionkey AS translated_text FROM nation")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS \"key\", n_name AS original_text, 'region ' || n_regionkey AS translated_text FROM nation")
 def q_cache_file_roundtrip(spark, sf):
     """A cache written as one JSON map of hexadecimal keys, and read back."""
     n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("original_text"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("translated_text"))
