@@ -21,8 +21,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest id."""
-    found = near_dedup.near_dedup(docs.select("doc_id", "text"))
+    """One document of each group of near copies (similarity of 0.8 or more), the one of the smallest id."""
+    found = near_dedup.near_dedup(docs.select("doc_id", "text"), percent=80)
     gone = written(found.filter(~F.col("kept")).select("doc_id").distinct(), "near-copies")
     if gone.count() <= 500_000:  # 4 MB of ids; else a shuffled join
         gone = F.broadcast(gone)

@@ -483,3 +483,10 @@ def test_pipeline_stage_by_stage(spark, docs, table):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert packed.agg(F.sum("n_words")).first()[0] == sum(len(words(r.text)) for r in kept.collect())
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
+
+
+def test_pipeline_drops_near_copies_from_080(spark, docs, table):
+    rows = [(r["doc_id"], r["text"]) for r in table]
+    keep = {k for k, _, _, first in linked(rows, 80) if first}
+    assert keep < {k for k, _, _, first in linked(rows, 85) if first}  # some pairs are in between
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == keep
