@@ -4,8 +4,8 @@ Bins are ordered by what is left in them and carry two bitmaps: the sources and
 come in order of size, largest first. For each, the search starts at the bins with the least room that is
 enough and goes on to the next larger room until a bin without a conflict is found, which is the tightest compatible bin; if
 there is none, a bin is opened. Two pieces conflict if they are of one duplicate cluster, or of one
-source. A source with more pieces than the fewest bins that hold all words can't be kept apart; its
-bit is never set.
+source, however many pieces that has: a source with more pieces than the fewest bins that hold all words gets as
+many bins as it has pieces.
 
 Documents longer than a bin become pieces of `capacity` words and a rest. Pieces are dealt to shards
 of about `shard_pieces` by a hash of id and piece, whatever their source or cluster, so any hot group is
@@ -32,11 +32,21 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     rooms: list[dict[int, list[int]]] = [{} for _ in range(capacity + 1)]  # by room, then by source bitmap
     occupied = 0  # bit r: some bin has room r
     held: list[int] = []  # cluster bitmap of each bin
+    common = [0] * (capacity + 1)  # by room, the sources that all of its bins hold
+    shut: dict[int, int] = {}  # by source bit, bit r: all bins of room r hold it
     out = []
+
+    def hold(room: int, sources: int) -> None:
+        changed, common[room] = common[room] ^ sources, sources
+        while changed:
+            low = changed & -changed
+            shut[low] = shut.get(low, 0) ^ (1 << room)
+            changed ^= low
+
     for size, source, cluster in zip(sizes, sources, clusters, strict=True):
         s, c = (1 << source if source >= 0 else 0), (1 << cluster if cluster >= 0 else 0)
         found = None
-        ahead = occupied >> size
+        ahead = (occupied & ~shut.get(s, 0)) >> size
         room = size
         while ahead:
             step = (ahead & -ahead).bit_length() - 1
@@ -64,24 +74,32 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
                 del rooms[room][bitmap]
                 if not rooms[room]:
                     occupied &= ~(1 << room)
+                both = -1 if rooms[room] else 0
+                for other in rooms[room]:
+                    both &= other
+                    if not both:
+                        break
+                hold(room, both)
         else:
             b, room, bitmap = len(held), capacity, 0
             held.append(0)
         held[b] |= c
-        rooms[room - size].setdefault(bitmap | s, []).append(b)
-        occupied |= 1 << (room - size)
+        room -= size
+        hold(room, common[room] & (bitmap | s) if rooms[room] else bitmap | s)
+        rooms[room].setdefault(bitmap | s, []).append(b)
+        occupied |= 1 << room
         out.append(b)
     return out
 
 
-def _numbered(column: pa.ChunkedArray, most: int) -> list[int]:
-    """Numbers of the values that occur more than once and `most` times at most; -1 for others."""
-    if most < 2 or not len(column):
-        return [-1] * len(column)
+def _numbered(column: pa.ChunkedArray) -> list[int]:
+    """Numbers of the values that occur more than once; -1 for others."""
+    if not len(column):
+        return []
     d = column.combine_chunks().dictionary_encode()
     at = d.indices.fill_null(-1).to_numpy(zero_copy_only=False)
     n = np.bincount(at[at >= 0], minlength=len(d.dictionary))
-    use = (n > 1) & (n <= most)
+    use = n > 1
     number = np.where(use, np.cumsum(use) - 1, -1)
     return [int(number[i]) if i >= 0 else -1 for i in at.tolist()]
 
@@ -90,9 +108,8 @@ def _pack(capacity: int):
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by([("size", "descending"), ("id", "ascending"), ("piece", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
         sizes = t["size"].to_pylist()
-        least = -(-sum(sizes) // capacity)
         source = t["source"].combine_chunks().fill_null("\0null")
-        bins = best_fit(sizes, _numbered(pa.chunked_array([source]), least), _numbered(t["cluster"], len(sizes)), capacity)
+        bins = best_fit(sizes, _numbered(pa.chunked_array([source])), _numbered(t["cluster"]), capacity)
         used: dict[int, int] = {}
         starts = []
         for b, n in zip(bins, sizes, strict=True):

@@ -451,6 +451,14 @@ def test_packing(spark, table):
             assert all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False)) and spans[0][0] == 0
 
 
+def test_hot_source_is_kept_apart(spark):
+    """One source of most pieces: more than the fewest bins that hold all words."""
+    given = [(i, f"w{i} " * 5, "hot" if i % 5 else f"s{i % 3}") for i in range(60)]
+    rows = packing.pack_documents(spark.createDataFrame(given, "doc_id long, text string, source string"), capacity=100).collect()
+    assert len(rows) == 60 and max(Counter((r.bin_id, r.source) for r in rows).values()) == 1
+    assert len({r.bin_id for r in rows}) == 48  # as many as the hot source has pieces
+
+
 def test_packing_odd(spark):
     rows = packing.pack_documents(odd(spark)).collect()
     assert len(rows) == 12 and all((r.bin_id is None) == (r.n_words == 0) for r in rows)
