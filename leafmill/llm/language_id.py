@@ -3,8 +3,10 @@
 Texts become counts of byte 2- and 3-grams of their letters (A-Z folded, bytes that are no letters as one
 blank), hashed to `DIMS` places, dampened, weighted by inverse document frequency and normalised.
 Each language's documents are clustered by spherical k-means into `clusters` centroids; a text gets
-the language of the centroid of the largest cosine. Distance-based rejection: a text is rejected when
-that cosine is below `reject` times the cosine that 99 of 100 training documents reach.
+the language of the centroid of the largest cosine. Distance-based rejection: short texts have small cosines, so
+each centroid has a floor for every band of lengths (a power of two of letters): the cosine that 90 of 100 windows of
+training texts of that length reach with centroids fitted without them. A text is rejected below `reject` times the floor
+of its length, interpolated between bands.
 
 The classifier is fitted on at most `sample` documents a language, the ones of the smallest hash
 of their ids: that is the stated bound of what the driver holds (clusters x DIMS floats a
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 from .common import flat, slices, written
 
 DIMS = 4096
+BANDS = 14  # of lengths; the last has no end
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -39,7 +42,7 @@ class Classifier:
     languages: list[str]  # of each centroid
     centroids: np.ndarray  # a row each, of length 1
     idf: np.ndarray
-    floor: float  # cosines below are rejected
+    floors: np.ndarray  # of each centroid and band of lengths: cosines of texts like those it is made of
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -94,6 +97,40 @@ def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def log_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """log2 of each row's number of letter bytes; band k is from k to k + 1."""
+    letters = np.concatenate([[0], np.cumsum(_FOLD[data] != 32)])
+    n = letters[offsets[1:]] - letters[offsets[:-1]]
+    return np.log2(np.maximum(n, 1))
+
+
+def _floors(texts: list[np.ndarray], v: np.ndarray, idf: np.ndarray, clusters: int) -> np.ndarray:
+    """By band of lengths, the cosine that 90 of 100 windows of the texts reach, each with centroids of the other half of texts.
+
+    A band of fewer than 20 windows takes the one before; 0 without any.
+    """
+    rng = np.random.default_rng(0)
+    found: list[list[float]] = [[] for _ in range(BANDS)]
+    half = np.arange(len(v)) % 2
+    for side in (0, 1) if len(v) > 1 else ():
+        c = _kmeans(v[half == 1 - side], clusters)
+        rest = [texts[i] for i in np.flatnonzero(half == side)]
+        for k in range(1, BANDS + 1):
+            some = rest * -(-200 // max(1, len(rest)))
+            n = (2.0**k * 2.0 ** rng.random(len(some))).astype(np.int64)
+            cut = [x[(a := rng.integers(0, len(x) - m + 1)) : a + m] for x, m in zip(some, n.tolist(), strict=True) if len(x) >= m]
+            for i in range(0, len(cut), 100):
+                data, offsets = np.concatenate(cut[i : i + 100]), np.concatenate([[0], np.cumsum([len(x) for x in cut[i : i + 100]])])
+                cos = (vectors(term_counts(data, offsets), idf) @ c.T).max(axis=1)
+                for band, x, letter in zip(np.minimum(log_letters(data, offsets), BANDS - 1).astype(int).tolist(), cos.tolist(), has_letter(data, offsets).tolist(), strict=True):
+                    if letter:
+                        found[band].append(x)
+    out = np.zeros(BANDS)
+    for band, x in enumerate(found):
+        out[band] = np.quantile(x, 0.1) if len(x) >= 20 else out[band - 1] if band else 0.0
+    return out
+
+
 def _document_frequency(batches):
     for batch in batches:
         data, offsets = flat(batch.column(0))
@@ -111,8 +148,8 @@ def _fit(idf: np.ndarray, clusters: int):
             parts.append(vectors(term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), idf))
         v = np.concatenate(parts)
         c = _kmeans(v, clusters)
-        floor = float(np.quantile((v @ c.T).max(axis=1), 0.01))
-        return pa.table({"lang": pa.array([t["lang"][0].as_py()] * len(c)), "centroid": pa.array([x.astype("<f4").tobytes() for x in c], pa.binary()), "floor": pa.array([floor] * len(c))})
+        floors = _floors([data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], v, idf, clusters)
+        return pa.table({"lang": pa.array([t["lang"][0].as_py()] * len(c)), "centroid": pa.array([x.astype("<f4").tobytes() for x in c], pa.binary()), "floors": pa.array([floors.tolist()] * len(c))})
 
     return fit
 
@@ -132,10 +169,10 @@ def fit_classifier(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_
     for r in some.select("text").mapInArrow(_document_frequency, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r.term] = r.df
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    got = some.groupBy("lang").applyInArrow(_fit(idf, clusters), "lang string, centroid binary, floor double").collect()
+    got = some.groupBy("lang").applyInArrow(_fit(idf, clusters), "lang string, centroid binary, floors array<double>").collect()
     got.sort(key=lambda r: r.lang.encode())
     centroids = np.array([np.frombuffer(r.centroid, "<f4") for r in got]).reshape(-1, DIMS)
-    return Classifier([r.lang for r in got], centroids, idf, min((r.floor for r in got), default=0.0))
+    return Classifier([r.lang for r in got], centroids, idf, np.array([r.floors for r in got]).reshape(-1, BANDS))
 
 
 def _predict(known, text: str, names: list[str], reject: float):
@@ -147,20 +184,24 @@ def _predict(known, text: str, names: list[str], reject: float):
             data, offsets = flat(column)
             for i, j in slices(offsets, 1 << 20):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                pred, score = np.full(j - i, "und", object), np.zeros(j - i)
+                pred, score, floor = np.full(j - i, "und", object), np.zeros(j - i), np.zeros(j - i)
                 if len(model.languages):
                     cos = vectors(term_counts(part, at), model.idf) @ model.centroids.T
                     letters = has_letter(part, at)
                     pred[letters] = langs[cos.argmax(axis=1)][letters]
                     score[letters] = np.clip(cos.max(axis=1), 0, 1)[letters]
-                rejected = (pred == "und") | (score < reject * model.floor)
+                    place = np.clip(log_letters(part, at) - 0.5, 0, BANDS - 1)
+                    low, near = place.astype(int), cos.argmax(axis=1)
+                    a, b = model.floors[near, low], model.floors[near, np.minimum(low + 1, BANDS - 1)]
+                    floor = a + (b - a) * (place - low)
+                rejected = (pred == "und") | (score < reject * floor)
                 out = [batch.column(batch.schema.get_field_index(k)).slice(i, j - i) for k in names]
                 yield pa.record_batch([*out, pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=[*names, "lang_pred", "score", "rejected"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Classifier, text_col: str = "text", reject: float = 0.3, keep_text: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Classifier, text_col: str = "text", reject: float = 0.4, keep_text: bool = False) -> DataFrame:
     """docs with lang_pred, score and rejected; without the text, unless it is to be kept."""
     names = [c for c in docs.columns if keep_text or c != text_col]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

@@ -220,6 +220,17 @@ def test_language_id_odd(spark, docs):
     assert {r.lang_pred for r in language_id.identify(odd(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_rejects_by_length(spark):
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    rng = random.Random(3)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(300))
+    finnish = "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli, jota puhuvat pääosin suomalaiset. Kielen puhujia on noin viisi miljoonaa, ja se on toinen maan virallisista kielistä ruotsin ohella. Sitä opetetaan kouluissa ja yliopistoissa, ja sillä kirjoitetaan kirjoja ja lehtiä."
+    given = [(1, noise), (2, finnish), (3, "Avec."), (5, "A.\nAll rights reserved."), (4, docs.filter("length(text) > 500").orderBy("doc_id").first().text)]
+    model = language_id.fit_classifier(docs, F.lit(True))
+    out = language_id.predict(spark.createDataFrame(given, "doc_id long, text string"), model).collect()
+    assert {r.doc_id for r in out if r.rejected} == {1, 2}
+
+
 # ------------------------------------------------------------------------------------------ token output
 
 
