@@ -284,6 +284,19 @@ def test_license_scan(spark, table):
         assert got[r["doc_id"]].families == ",".join(sorted({lines[x] for x in at if x in lines})) and got[r["doc_id"]].n_paragraphs == sum(bool(x.split()) for x in at)
 
 
+def test_license_scan_tells_versions(spark, docs):
+    gpl = licenses.TEMPLATES["gpl-3.0"][0]
+    given = {
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0", "Licensed under the Apache License, Version 1.1.": "", "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0",
+        "Licensed under the BSD 2-Clause License.": "bsd-2-clause", licenses.TEMPLATES["lgpl-3.0"][0]: "lgpl-3.0", licenses.TEMPLATES["lgpl-2.1"][0]: "lgpl-2.1", gpl: "gpl-3.0", gpl.replace("version 3", "version 2"): "gpl-2.0", licenses.TEMPLATES["agpl-3.0"][0]: "agpl-3.0",
+        "All rights reserved.": "", "plain words only here": "",
+    }
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(given)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).filter("doc_id >= 10000").collect()}
+    assert {t: got[10_000 + i].families for i, t in enumerate(given)} == given
+    assert [got[10_000 + i].n_reserved for i in range(len(given))] == [int(t == "All rights reserved.") for t in given]
+
+
 def test_license_scan_odd(spark):
     assert all(r.n_licenses == 0 for r in licenses.scan_licenses(odd(spark)).collect())
     assert licenses.scan_licenses(empty(spark)).count() == 0
