@@ -297,6 +297,16 @@ def test_license_scan_tells_versions(spark, docs):
     assert [got[10_000 + i].n_reserved for i in range(len(given))] == [int(t == "All rights reserved.") for t in given]
 
 
+def test_license_scan_in_long_lines(spark, docs):
+    prose = " ".join(docs.filter("length(text) > 3000").orderBy("doc_id").first().text.split())
+    notice = "Licensed under the Apache License, Version 2.0."
+    wrapped = licenses.TEMPLATES["lgpl-2.1"][0].replace(" GNU ", "\nGNU ").replace(" either ", "\neither ")
+    given = [(10_000, f"{prose} {notice} {prose}"), (10_001, f"{notice} {prose} Released under the MIT License."), (10_002, wrapped), (10_003, prose)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(given, "doc_id long, text string"))
+    got = {r.doc_id: (r.families, r.n_licenses) for r in licenses.scan_licenses(df).filter("doc_id >= 10000").collect()}
+    assert got == {10_000: ("apache-2.0", 1), 10_001: ("apache-2.0,mit", 2), 10_002: ("lgpl-2.1", 1), 10_003: ("", 0)}
+
+
 def test_license_scan_odd(spark):
     assert all(r.n_licenses == 0 for r in licenses.scan_licenses(odd(spark)).collect())
     assert licenses.scan_licenses(empty(spark)).count() == 0
