@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -145,18 +146,21 @@ class ArchiveReader(DataSourceReader):
 
     def member(self, store, path: str, offset: int):
         """One member by its offset, with retries of its own."""
+        known = (None, None)
         for _ in range(self.retries + 1):
             try:
                 with store.open_input_file(path) as f:
                     head = f.read_at(MEMBER.size, offset)
                     magic, null, k, n, size, crc = MEMBER.unpack(head)
+                    if magic == b"LMMB":
+                        known = (None if null else k), n
                     media = f.read_at(size, offset + MEMBER.size)
                 if magic != b"LMMB" or len(media) != size or zlib.crc32(media) != crc:
                     raise OSError("member is damaged")
                 return (None if null else k), n, media, None
             except (OSError, struct.error) as e:
                 error = f"{path.rpartition('/')[2]}@{offset}: {e}"
-        return None, None, None, error
+        return *known, None, error
 
     def read(self, partition: Range):
         store, root = _store(self.path)
@@ -215,6 +219,14 @@ def read_archives(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("leafmill_archive").options(**options).load(path)
 
 
+def _sound(batches):
+    for batch in batches:
+        bad = batch.filter(pc.is_valid(batch.column("error"))).select(["doc_id", "error"]).slice(0, 1).to_pylist()
+        if bad:
+            raise OSError(f"document {bad[0]['doc_id']}: {bad[0]['error']}")
+        yield batch
+
+
 def _digest(batches):
     for batch in batches:
         ids, sizes, media, errors = (batch.column(k) for k in ("doc_id", "n_bytes", "media", "error"))
@@ -233,13 +245,13 @@ def _digest(batches):
         })
 
 
-def media_digest(media: DataFrame) -> DataFrame:
-    """Sizes, checksums and features of the media read back."""
-    return media.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+def media_digest(media: DataFrame, strict: bool = False) -> DataFrame:
+    """Sizes, checksums and features of the media read back; if strict, a member that can't be read is an error."""
+    return media.mapInArrow((lambda batches: _digest(_sound(batches))) if strict else _digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Stores the texts' payloads in the shared folder, reads them back and digests them."""
+    """Stores the texts' payloads in the shared folder, reads them back and digests them; fails if one can't be read."""
     path = fresh_path(docs.sparkSession, "archives")
     write_archives(docs, path, id_col, text_col)
-    return media_digest(read_archives(docs.sparkSession, path, **options))
+    return media_digest(read_archives(docs.sparkSession, path, **options), strict=True)

@@ -339,6 +339,20 @@ def test_media_ranges_and_retries(spark, tmp_path):
     assert len(rows) == 300 and sum(r.error is not None for r in rows) == 1 and sum(r.payload_bytes is not None for r in rows) == 299
 
 
+def test_media_error_keeps_the_id(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    media_archive.write_archives(spark.createDataFrame([(77, "some text")], "doc_id long, text string").coalesce(1), path)
+    file = next((tmp_path / "a").glob("*.lma"))
+    raw = bytearray(file.read_bytes())
+    raw[media_archive.MEMBER.size + 5] ^= 255
+    file.write_bytes(bytes(raw))
+    read = media_archive.read_archives(spark, path, retries=0)
+    row = media_archive.media_digest(read).first()
+    assert (row.doc_id, row.n_bytes, row.payload_bytes) == (77, 9, None) and row.error
+    with pytest.raises(Exception, match="document 77"):
+        media_archive.media_digest(read, strict=True).collect()
+
+
 def test_media_odd(spark):
     rows = media_archive.media_columns(odd(spark)).collect()
     assert len(rows) == 12 and {r.payload_bytes for r in rows if r.n_bytes == 0} == {64}
