@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +27,47 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
-    (tests, one machine), a temporary folder."""
+    and Spark runs in one process (tests), a temporary folder that goes with it."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.leafmill.shared", "")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="leafmill-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="leafmill-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        at = "file://" + local
         spark.conf.set("spark.leafmill.shared", at)
     return at.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/leafmill/{label}-{uuid.uuid4().hex}"
+_FOLDERS: ContextVar[tuple[str, ...]] = ContextVar("leafmill_folders", default=())
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def fresh_path(spark: SparkSession, label: str, outer: bool = False) -> str:
+    """A new path of the shared store, in the innermost `scratch` folder (or, if outer, in the one around it)."""
+    folders = _FOLDERS.get()[: -1 if outer else None]
+    return f"{folders[-1] if folders else shared_folder(spark) + '/leafmill'}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, label)
+    path = fresh_path(df.sparkSession, label, outer)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[None]:
+    """Tables written inside are removed at the end; what is to stay is written with `outer`."""
+    folders = _FOLDERS.get()
+    path = fresh_path(spark, label)
+    token = _FOLDERS.set((*folders, path))
+    try:
+        yield
+    finally:
+        _FOLDERS.reset(token)
+        drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a folder of the shared store through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
@@ -48,6 +75,43 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def apart(docs: DataFrame, **used: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with every column under a name that can't clash, and the given names of those columns.
+
+    Column i becomes `__in<i>`, and each keyword gives a second name to a column: apart(docs, __text="text").
+    The columns are found without regard to case, the first of several of one name.
+    """
+    given = {f"__in{i}": name for i, name in enumerate(docs.columns)}
+    out = docs.toDF(*given)
+    places: dict[str, str] = {}
+    for inner, name in given.items():
+        places.setdefault(name.lower(), inner)
+    return out.withColumns({k: F.col(places[v.lower()]) for k, v in used.items()}) if used else out, given
+
+
+def place(given: dict[str, str], name: str) -> str:
+    """The column of `apart` that was called `name`."""
+    return next(inner for inner, x in given.items() if x.lower() == name.lower())
+
+
+def beside(given: dict[str, str], results: Sequence[str], leave: Sequence[str] = ()) -> list[Column]:
+    """The input's columns of `apart` for a select, without those in `leave` (their new names).
+
+    One that has the name of a result column, in any case, gets `_in` behind its name, as often as needed:
+    results keep their names, and no input column is lost.
+    """
+    taken = {x.lower() for x in results}
+    out = []
+    for inner, name in given.items():
+        if inner in leave:
+            continue
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        out.append(F.col(inner).alias(name))
+    return out
+
+
 def partitions(spark: SparkSession, total_bytes: int = 0, each: int = 32 << 20) -> int:
     """Enough partitions for total_bytes, and no fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // each))
@@ -77,8 +141,7 @@ _SEP[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_B = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-_Q = np.uint64(0xD1342543DE82EF95)
+_Q = np.uint64(0xD1342543DE82EF95)  # odd, so that it has an inverse modulo 2**64
 
 
 def _inverse(x: int) -> int:
@@ -102,7 +165,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS = _Powers(_B), _Powers(_Q)
+_WORDS = _Powers(_Q)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,6 +177,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_PLACES = 64
+
+
+def _marks(code: np.ndarray) -> np.ndarray:
+    """A value of 64 random-like bits for each code (place in the word, byte)."""
+    return mix(mix((code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+_TABLE = _marks(np.arange(_PLACES << 8))
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -131,11 +205,11 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20) -> list[tuple[int, int]]:
-    """Runs of rows of about `most` bytes each (one row at least), to bound working memory."""
+def slices(offsets: np.ndarray, most: int = 4 << 20, rows: int = 1 << 40) -> list[tuple[int, int]]:
+    """Runs of at most `rows` rows of about `most` bytes together (one row at least), to bound working memory."""
     out, i, n = [], 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        j = max(i + 1, min(i + rows, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1))
         out.append((i, j))
         i = j
     return out
@@ -166,18 +240,28 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offsets)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, A-Z folded if asked. Worked off in blocks."""
+        """A 64-bit hash of each word's bytes, A-Z folded if asked. Worked off in blocks.
+
+        Every (place, byte) has a value of its own, and a word is their sum: unlike a polynomial modulo 2**64,
+        no family of words collides whatever the constants. Two different words are equal with a chance of 2**-64.
+        """
         out = np.empty(len(self.starts), np.uint64)
         i, n = 0, len(out)
         while i < n:
             j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + (1 << 20), "right")))
             lo, hi = self.starts[i], self.ends[j - 1]
             raw = self.data[lo:hi]
-            up, down = _BYTES.get(hi - lo)
-            total = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(((_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
             s, e = self.starts[i:j] - lo, self.ends[i:j] - lo
-            out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+            place = np.arange(hi - lo, dtype=np.int64) - np.repeat(s, np.diff(s, append=hi - lo))
+            code = (place << 8) | (_LOWER[raw] if lower else raw)
+            value = np.zeros(hi - lo + 1, np.uint64)
+            np.take(_TABLE, code, out=value[:-1], mode="clip")
+            if (e - s).max() > _PLACES:
+                far = np.flatnonzero(place >= _PLACES)
+                value[far] = _marks(code[far])
+            cut = np.empty(2 * (j - i), np.int64)
+            cut[::2], cut[1::2] = s, e
+            out[i:j] = mix(np.add.reduceat(value, cut)[::2] + (e - s).astype(np.uint64))
             i = j
         return out
 
