@@ -2,12 +2,16 @@
 
 Base rules are judged document by document. Failures are summed by host (partial sums before the
 shuffle, so a host of any share of the rows is one row a task), and each host's failure rate is
-shrunk towards the rate of all hosts with a beta prior fitted to the hosts' rates by the method of
-moments. Hosts whose shrunk rate is above a threshold are dropped with all their documents.
+shrunk towards the rate of all documents with a beta prior fitted to the hosts' counts by beta-binomial moments:
+hosts weigh by their documents, and what binomial chance alone explains is taken off, so that many hosts of few documents
+don't pass for different ones. Hosts whose shrunk rate is above a threshold are dropped with all their documents.
+
+Bound: a text's words, window hashes and places are arrays of one row, some 60 bytes a word of the longest text.
 
 Defined results: null or empty texts have no words, so they fail the base rules; documents of a null
-host are one host; extra columns pass through; repeated rows count as often as they occur; with one
-host only, or equal rates, the prior is as weak as one document; an empty table gives an empty table.
+host are one host; extra columns pass through, and one that is called like a result column gets `_in` behind its name;
+repeated rows count as often as they occur; with one host, or hosts of one document each, or hosts no more different than
+by chance, all hosts get the rate of all documents; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,7 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of, written
+from .common import apart, beside, place, words_of, written
+
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+RESULTS = [*BASE, "shrunk_rate", "host_failed", "kept"]
 
 MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -54,19 +61,23 @@ def base_columns(docs: DataFrame, text_col: str = "text", window: int = 3) -> Da
 
 
 def host_verdicts(judged: DataFrame, host_col: str = "source", most_failed: float = 0.6) -> DataFrame:
-    """One row a host: n_docs, n_failed, the fitted prior (alpha, beta), shrunk_rate and host_failed.
+    """One row a host: n_docs, n_failed, shrunk_rate and host_failed.
 
-    With host rates p_i of mean m and variance v, the prior has strength s = m(1-m)/v - 1 (kept
-    within 1 and 1000) and alpha = s m, beta = s (1 - m); the shrunk rate is the posterior mean
-    (n_failed + alpha) / (n_docs + s).
+    With N documents at H hosts, n_i documents and k_i failures each, m = sum(k_i) / N and
+    S = sum(k_i^2 / n_i) - N m^2, the share of variance between hosts is
+    r = (S / (m (1 - m)) - (H - 1)) / (N - sum(n_i^2) / N - (H - 1)), kept within 0 and 1. A beta prior of strength
+    1 / r - 1 and mean m gives the posterior mean (r k_i + (1 - r) m) / (r n_i + (1 - r)).
     """
     hosts = judged.groupBy(F.col(host_col).alias("__host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     hosts = written(hosts, "hosts")
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))
-    strength = F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("m") * (1 - F.col("m")) / F.nullif(F.col("v"), F.lit(0.0)) - 1))).otherwise(F.lit(1.0))
-    prior = prior.select((strength * F.col("m")).alias("alpha"), (strength * (1 - F.col("m"))).alias("beta"))
-    shrunk = (F.col("n_failed") + F.col("alpha")) / (F.col("n_docs") + F.col("alpha") + F.col("beta"))
+    k, n = F.col("n_failed").cast("double"), F.col("n_docs").cast("double")
+    sums = hosts.agg(F.sum(k).alias("k"), F.sum(n).alias("n"), F.sum(k * k / n).alias("kk"), F.sum(n * n).alias("nn"), F.count(F.lit(1)).alias("h"))
+    m, free = F.col("k") / F.col("n"), F.col("h") - 1
+    spread = (F.col("kk") - F.col("n") * m * m) / F.nullif(m * (1 - m), F.lit(0.0))
+    share = (spread - free) / F.nullif(F.col("n") - F.col("nn") / F.col("n") - free, F.lit(0.0))
+    prior = sums.select(m.alias("__m"), F.least(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("__r"))
+    r = F.col("__r")
+    shrunk = (r * F.col("n_failed") + (1 - r) * F.col("__m")) / (r * F.col("n_docs") + (1 - r))
     return hosts.join(F.broadcast(prior)).withColumn("shrunk_rate", shrunk).withColumn("host_failed", F.col("shrunk_rate") > most_failed)  # one row: not a product
 
 
@@ -76,12 +87,15 @@ def host_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source"
     Texts are read once; what is left is written to the shared folder, then joined with the hosts'
     verdicts, which are broadcast up to `broadcast_rows` hosts and else joined by AQE's skew join.
     """
-    judged = written(base_columns(docs, text_col).drop(text_col), "judged")
-    hosts = written(host_verdicts(judged, host_col, most_failed).select("__host", "shrunk_rate", "host_failed"), "host-verdicts")
+    rows, given = apart(docs, __text=text_col, __of=host_col)
+    text = place(given, text_col)
+    judged = written(base_columns(rows, "__text").drop("__text", text), "judged")
+    hosts = written(host_verdicts(judged, "__of", most_failed).select("__host", "shrunk_rate", "host_failed"), "host-verdicts")
     if hosts.count() <= broadcast_rows:
         hosts = F.broadcast(hosts)
-    out = judged.join(hosts, judged[host_col].eqNullSafe(hosts["__host"]), "left").drop("__host")
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False)))
+    out = judged.join(hosts, F.col("__of").eqNullSafe(F.col("__host")), "left")
+    out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False)))
+    return out.select(*beside(given, RESULTS, [text]), *RESULTS)
 
 
 ORACLE = """
@@ -101,9 +115,10 @@ b AS (
   FROM d LEFT JOIN c USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 h AS (SELECT source, count(*) AS n, CAST(sum(base_failed::INT) AS DOUBLE) AS k FROM f GROUP BY source),
-m AS (SELECT avg(k / n) AS m, coalesce(var_pop(k / n), 0) AS v FROM h),
-s AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1.0 END AS s FROM m),
-r AS (SELECT source, (k + s * m) / (n + s) > 0.6 AS host_failed FROM h, s)
+t AS (SELECT sum(k) AS k, CAST(sum(n) AS DOUBLE) AS n, sum(k * k / n) AS kk, CAST(sum(n * n) AS DOUBLE) AS nn, count(*) AS h FROM h),
+m AS (SELECT *, k / n AS m FROM t),
+s AS (SELECT m, least(greatest(coalesce(((kk - n * m * m) / nullif(m * (1 - m), 0) - (h - 1)) / nullif(n - nn / n - (h - 1), 0), 0), 0), 1) AS r FROM m),
+r AS (SELECT source, (r * k + (1 - r) * m) / (r * n + (1 - r)) > 0.6 AS host_failed FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """
