@@ -2,13 +2,18 @@
 
 An archive is a run of members (header, media) and an index of their offsets. Media are 8-bit samples:
 the UTF-8 bytes of a text, padded with zeros to a positive multiple of 64, deflated behind a small
-header. Each write task makes one archive under a name of its own, and the commit lists the archives
-of the tasks that won in a manifest, so that lost and repeated tasks leave nothing that is read.
+header. Each write task makes one archive under a name of its own, and each commit lists the archives
+of the tasks that won in a manifest of its own, so that lost and repeated tasks leave nothing that is read, and what is
+written to a path later comes beside what is there (or, with mode overwrite, in place of it).
 
 Reading plans one partition for each byte range of about `range_bytes` of each archive; a member belongs to
 the range that its first byte is in. A partition streams Arrow batches of bounded size, and reads
 each member anew by its offset, up to `retries` times, if it can't be read or its checksum is
-wrong; after that the row has an error and no media, and other members are not touched.
+wrong; after that the row has an error and no media, and other members are not touched. A range looks its members up in
+the archive's index by bisection, so no task reads a whole index. Where the index can't be used, the range looks for
+members from its start on, by their marks and checksums.
+
+Archives lie in any store that Arrow's file systems know: local and mounted folders, HDFS, S3 (`s3`, `s3a`, `s3n`), GCS.
 
 Defined results: a null or empty text is 64 zeros; a null id stays null; equal texts have equal
 media; repeated rows are members of their own; an empty table gives a manifest without archives
@@ -31,13 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import flat, fresh_path
+from .common import apart, flat, fresh_path
 
 MEMBER = struct.Struct("<4sB3xqQQI4x")  # magic, id is null, id, payload bytes without padding, media bytes, crc32 of the media
 MEDIA = struct.Struct("<4sIQ")  # magic, samples a second, samples
 END = struct.Struct("<QQ4s")  # members, offset of the index, magic
-UNIT, RATE, BATCH = 64, 8000, 8 << 20
-MANIFEST = "_MANIFEST.json"
+UNIT, RATE, BATCH, PAGE = 64, 8000, 8 << 20, 4096
+MANIFEST = "_MANIFEST"
+_STORES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
 SCHEMA = "doc_id long, n_bytes long, media binary, error string"
 
 
@@ -69,7 +75,22 @@ def features(samples: bytes) -> str:
 def _store(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    kind, _, rest = path.partition(":")
+    return fs.FileSystem.from_uri(f"{_STORES.get(kind, kind)}:{rest}" if rest.startswith("/") and kind else path)
+
+
+def manifests(store, root: str) -> list[str]:
+    """Paths of the manifests of a folder."""
+    from pyarrow import fs
+
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in found if f.base_name.startswith(MANIFEST))
+
+
+def listed(store, path: str) -> list:
+    """Names and sizes of a manifest's archives."""
+    with store.open_input_stream(path) as f:
+        return json.loads(f.read())
 
 
 @dataclass
@@ -79,8 +100,8 @@ class Made(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator) -> Made:
         store, root = _store(self.path)
@@ -108,8 +129,14 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as f:
+        before = manifests(store, root) if self.overwrite else []
+        with store.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted([m.name, m.size] for m in messages if m is not None and m.name)).encode())
+        for path in before:
+            archives = listed(store, path)
+            store.delete_file(path)
+            for name, _ in archives:
+                store.delete_file(f"{root}/{name}")
 
     def abort(self, messages) -> None:
         store, root = _store(self.path)
@@ -131,8 +158,10 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         store, root = _store(self.path)
-        with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-            archives = json.loads(f.read())
+        found = manifests(store, root)
+        if not found:
+            raise FileNotFoundError(f"{self.path} has no manifest")
+        archives = sorted(x for path in found for x in listed(store, path))
         return [Range(name, i, min(i + self.range_bytes, size)) for name, size in archives for i in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
 
     @staticmethod
@@ -162,17 +191,56 @@ class ArchiveReader(DataSourceReader):
                 error = f"{path.rpartition('/')[2]}@{offset}: {e}"
         return *known, None, error
 
+    @staticmethod
+    def places(f, partition: Range):
+        """Offsets of the range's members by the index, page by page; nothing if the index isn't sound."""
+        n, index, magic = END.unpack(f.read_at(END.size, f.size() - END.size))
+        if magic != b"LMND" or index + 8 * n + END.size != f.size():
+            return None
+        edges = []
+        for wanted in (partition.start, partition.end):  # the first member from there on
+            low, high = 0, n
+            while high - low > PAGE:
+                middle = (low + high) // 2
+                low, high = (middle + 1, high) if int.from_bytes(f.read_at(8, index + 8 * middle), "little") < wanted else (low, middle)
+            page = np.frombuffer(f.read_at(8 * (high - low), index + 8 * low), "<u8")
+            edges.append(low + int(np.searchsorted(page, wanted)))
+        mine = np.frombuffer(f.read_at(8 * (edges[1] - edges[0]), index + 8 * edges[0]), "<u8").astype(np.int64)
+        if len(mine) and (np.diff(mine, prepend=partition.start - 1).min() <= 0 or mine[-1] >= partition.end):
+            return None
+        return mine.tolist()
+
+    @staticmethod
+    def found(f, partition: Range) -> list[int]:
+        """Offsets of the members that begin in the range, found without the index: by checksum, or with another one behind."""
+        out, at, size = [], partition.start, f.size()
+        while at < min(partition.end, size):
+            raw = f.read_at(min(1 << 20, partition.end - at + MEMBER.size), at)
+            near = raw.find(b"LMMB")
+            if near < 0:
+                at += max(1, len(raw) - 3)
+                continue
+            at += near
+            head = f.read_at(MEMBER.size, at)
+            if at >= partition.end or len(head) < MEMBER.size:
+                break
+            n, crc = MEMBER.unpack(head)[4:]
+            media = f.read_at(n + 4, at + MEMBER.size) if at + MEMBER.size + n <= size else b""
+            there = len(media) >= n and n > 0 and (zlib.crc32(media[:n]) == crc or media[n:] == b"LMMB")
+            if there:
+                out.append(at)
+            at += MEMBER.size + n if there else 1
+        return out
+
     def read(self, partition: Range):
         store, root = _store(self.path)
         if not partition.name:
             return
         path = f"{root}/{partition.name}"
         with store.open_input_file(path) as f:
-            n, index, magic = END.unpack(f.read_at(END.size, f.size() - END.size))
-            if magic != b"LMND":
-                raise ValueError(f"{path} has no index")
-            offsets = np.frombuffer(f.read_at(8 * n, index), "<u8")
-            mine = offsets[np.searchsorted(offsets, partition.start) : np.searchsorted(offsets, partition.end)].tolist()
+            mine = self.places(f, partition)
+            if mine is None:
+                mine = self.found(f, partition)
             rows, size, at, raw = [], 0, 0, b""
             for offset in mine:
                 if offset + MEMBER.size > at + len(raw):
@@ -206,12 +274,12 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options["path"], int(self.options.get("range_bytes", 8 << 20)), int(self.options.get("retries", 3)))
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], overwrite)
 
 
 def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     docs.sparkSession.dataSource.register(ArchiveSource)
-    docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).write.format("leafmill_archive").mode("append").save(path)
+    apart(docs, doc_id=id_col, text=text_col)[0].select(F.col("doc_id").cast("long").alias("doc_id"), "text").write.format("leafmill_archive").mode("append").save(path)
 
 
 def read_archives(spark: SparkSession, path: str, **options) -> DataFrame:
