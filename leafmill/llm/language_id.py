@@ -8,13 +8,14 @@ each centroid has a floor for every band of lengths (a power of two of letters):
 training texts of that length reach with centroids fitted without them. A text is rejected below `reject` times the floor
 of its length, interpolated between bands.
 
-The classifier is fitted on at most `sample` documents a language, the ones of the smallest hash
-of their ids: that is the stated bound of what the driver holds (clusters x DIMS floats a
-language). Predictions are made for whole texts.
+The classifier is fitted on at most `sample` documents a language, and `sample_bytes` of their text (one document at least),
+the ones of the smallest hash of their ids: the stated bound of training. The driver and each worker hold clusters x DIMS
+floats a language (64 KB); more than `most_languages` values of the language column are an error. Predictions are made for whole texts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; ties go
 to the language of the smallest code points; without any training document all texts are `und`;
-repeated rows get equal results; extra columns pass through; an empty table gives an empty table.
+repeated rows get equal results; extra columns pass through, and one that is called like a result column gets `_in`
+behind its name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,10 +28,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat, slices, written
+from .common import apart, beside, flat, place, slices, written
+
+RESULTS = ["lang_pred", "score", "rejected"]
 
 DIMS = 4096
 BANDS = 14  # of lengths; the last has no end
+ROWS = 256  # at once, however short: a row has DIMS counts
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -135,7 +139,7 @@ def _document_frequency(batches):
     for batch in batches:
         data, offsets = flat(batch.column(0))
         seen = np.zeros(DIMS, np.int64)
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, 4 << 20, ROWS):
             seen += (term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) > 0).sum(axis=0)
         yield pa.record_batch({"term": pa.array(np.arange(DIMS)), "df": pa.array(seen)})
 
@@ -144,7 +148,7 @@ def _fit(idf: np.ndarray, clusters: int):
     def fit(t: pa.Table) -> pa.Table:
         parts = []
         data, offsets = flat(t["text"])
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, 4 << 20, ROWS):
             parts.append(vectors(term_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), idf))
         v = np.concatenate(parts)
         c = _kmeans(v, clusters)
@@ -154,16 +158,19 @@ def _fit(idf: np.ndarray, clusters: int):
     return fit
 
 
-def fit_classifier(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 400, clusters: int = 4) -> Classifier:
+def fit_classifier(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 400, clusters: int = 4, sample_bytes: int = 64 << 20, most_languages: int = 2000) -> Classifier:
     """A classifier of the documents for which `learn` holds and that have a text and a language."""
     rows = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit("language"), id_col).alias("h"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    if counts.count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     # A share of each language that has twice the sample on average, then the first of them.
     share = F.pmod("h", F.lit(1 << 30)) <= F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n")) * (1 << 30)
     first = Window.partitionBy("lang").orderBy("h", "text")
-    some = rows.join(F.broadcast(counts) if counts.count() <= 10_000 else counts, "lang").filter(share)
-    some = written(some.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= sample).select("lang", "text"), "language-sample")
+    some = rows.join(F.broadcast(counts), "lang").filter(share)
+    some = some.withColumns({"__n": F.row_number().over(first), "__sum": F.sum(F.octet_length("text")).over(first)})
+    some = written(some.filter((F.col("__n") == 1) | (F.col("__n") <= sample) & (F.col("__sum") <= sample_bytes)).select("lang", "text"), "language-sample")
     total = some.count()
     df = np.zeros(DIMS)
     for r in some.select("text").mapInArrow(_document_frequency, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
@@ -175,14 +182,13 @@ def fit_classifier(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_
     return Classifier([r.lang for r in got], centroids, idf, np.array([r.floors for r in got]).reshape(-1, BANDS))
 
 
-def _predict(known, text: str, names: list[str], reject: float):
+def _predict(known, names: list[str], reject: float):
     def run(batches):
         model: Classifier = known.value
         langs = np.array(model.languages or ["und"], object)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            data, offsets = flat(column)
-            for i, j in slices(offsets, 1 << 20):
+            data, offsets = flat(batch.column(batch.schema.get_field_index("__text")))
+            for i, j in slices(offsets, 1 << 20, ROWS):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 pred, score, floor = np.full(j - i, "und", object), np.zeros(j - i), np.zeros(j - i)
                 if len(model.languages):
@@ -196,16 +202,23 @@ def _predict(known, text: str, names: list[str], reject: float):
                     floor = a + (b - a) * (place - low)
                 rejected = (pred == "und") | (score < reject * floor)
                 out = [batch.column(batch.schema.get_field_index(k)).slice(i, j - i) for k in names]
-                yield pa.record_batch([*out, pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=[*names, "lang_pred", "score", "rejected"])
+                yield pa.record_batch([*out, pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=[*names, *RESULTS])
 
     return run
 
 
 def predict(docs: DataFrame, model: Classifier, text_col: str = "text", reject: float = 0.4, keep_text: bool = False) -> DataFrame:
     """docs with lang_pred, score and rejected; without the text, unless it is to be kept."""
-    names = [c for c in docs.columns if keep_text or c != text_col]
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), text_col, names, reject), schema)
+    rows, given = apart(docs, __text=text_col)
+    text = place(given, text_col)
+    rows = rows.drop(text)
+    names = [k for k in given if k != text] + (["__text"] if keep_text else [])
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([fields[k] for k in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    out = rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), names, reject), schema)
+    if keep_text:
+        out = out.withColumnRenamed("__text", text)
+    return out.select(*beside(given, RESULTS, () if keep_text else [text]), *RESULTS)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -215,6 +228,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fit) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected), learning from documents that aren't held out."""
-    model = fit_classifier(docs, ~held_out(id_col) & F.col(id_col).isNotNull(), id_col, text_col, lang_col, **fit)
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return predict(rows, model)
+    given = apart(docs, doc_id=id_col, text=text_col, lang=lang_col)[0].select("doc_id", "text", "lang")
+    model = fit_classifier(given, ~held_out() & F.col("doc_id").isNotNull(), **fit)
+    return predict(given.select("doc_id", held_out().alias("held_out"), "text"), model)
