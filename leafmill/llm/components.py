@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -35,20 +35,22 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, u: str = "u", v: str = "v", label: str = "components", most_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node that each node of an edge can reach.
 
-    Loops and null ends are no edges; repeated edges count once; no edges give an empty table.
+    Loops and null ends are no edges; repeated edges count once; no edges give an empty table. Rounds grow
+    with the logarithm of the edges (squared at most), so 100 are never needed: more mean a fault, and are an error.
     """
-    now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter(F.col("u") != F.col("v")).distinct()
-    now = written(now, label)
-    state = None
-    for _ in range(most_rounds):
-        if now.isEmpty():
-            break
-        now = written(_small(_large(now).distinct()).distinct(), label)
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == state:
-            break
-        state = new
-    else:
-        raise RuntimeError("components did not settle")
-    stars = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct()
+    with scratch(edges.sparkSession, label):
+        now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter(F.col("u") != F.col("v")).distinct()
+        now = written(now, "edges")
+        state = None
+        for _ in range(most_rounds):
+            if now.isEmpty():
+                break
+            now = written(_small(_large(now).distinct()).distinct(), "round")
+            new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if new == state:
+                break
+            state = new
+        else:
+            raise RuntimeError("components did not settle")
+        stars = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("component"))
+        return written(stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct(), label, outer=True)

@@ -13,7 +13,8 @@ their words, so that totals meet targets to a word a document, even for a source
 
 Defined results: null or empty texts have size 0 and take nothing; documents of a null source are
 one source, ordered last; a source without words has target 0; all rows of one id draw the same
-share; extra columns pass through; an empty table gives an empty table.
+share; extra columns pass through, and one that is called like a result column gets `_in` behind its name; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_share, n_words, written
+from .common import apart, beside, hash_share, n_words, place, written
+
+RESULTS = ["size", "source_size", "target", "repeats", "taken"]
 
 
 def waterfill(sources: DataFrame, budget: Column, size: str = "source_size", weight: str = "weight", max_epochs: float = 2.0) -> DataFrame:
@@ -56,12 +59,10 @@ def mix_sources(
     `keep_text` the text column is left out, and texts are read once: their sizes are written to the
     shared folder. The plan has a row for each source; it is broadcast up to `broadcast_rows`.
     """
-    sized = docs.withColumns({
-        "size": n_words(text_col), "__src": F.col(source_col),
-        "__cell": F.floor(hash_share(id_col, seed=seed) * cells).cast("int"),
-    })
-    if not keep_text:
-        sized = written(sized.drop(text_col), "mix-sizes")
+    rows, given = apart(docs, __id=id_col, __text=text_col, __src=source_col)
+    text = place(given, text_col)
+    sized = rows.withColumns({"size": n_words("__text"), "__cell": F.floor(hash_share("__id", seed=seed) * cells).cast("int")})
+    sized = sized.drop("__text", "__id") if keep_text else written(sized.drop("__text", "__id", text), "mix-sizes")
 
     grid = sized.groupBy("__src", "__cell").agg(F.sum("size").alias("__words"))
     totals = grid.groupBy("__src").agg(F.sum("__words").alias("source_size"))
@@ -94,7 +95,7 @@ def mix_sources(
     out = out.withColumn("__extra", F.when(F.col("__whole") >= max_epochs, F.lit(0.0)).otherwise(F.coalesce(extra, F.lit(0.0))))
     out = out.withColumn("repeats", F.when(F.col("size") > 0, F.col("__whole") + F.col("__extra")).otherwise(F.lit(0.0)))
     out = out.withColumn("taken", (F.col("__whole") * F.col("size") + F.floor(F.col("__extra") * F.col("size"))).cast("long"))
-    return out.drop("__src", "__cell", "__plan_src", "__whole", "__cut", "__extra")
+    return out.select(*beside(given, RESULTS, () if keep_text else [text]), *RESULTS)
 
 
 ORACLE = r"""

@@ -26,7 +26,7 @@ pipeline's 0.8, about 5e-8.
 Defined results: documents without words (null or empty) have no shingles, are linked with nothing and
 kept; documents of fewer than k words have one shingle, their whole sequence; rows of one id are one
 document of all their links; rows with a null id are linked with nothing and have a null component;
-extra columns pass through; an empty table gives an empty table.
+other columns are not returned, whatever they are called; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, flat, mix, rolling_in_rows, slices, whole, written
+from .common import Words, apart, flat, mix, rolling_in_rows, scratch, slices, whole, written
 from .components import components
 
 BINS, ROWS = 128, 4
@@ -237,7 +237,12 @@ def _block_pairs(members: DataFrame, clusters: DataFrame, nodes: int, shingles:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85, cell_nodes: int = 512, cell_shingles: int = 1_000_000, block_nodes: int = 4096, block_shingles: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = apart(docs, id=id_col, text=text_col)[0].select(F.col("id").cast("long").alias("id"), "text")
+    with scratch(docs.sparkSession, "near-dedup"):
+        return written(_labelled(source, k, percent, cell_nodes, cell_shingles, block_nodes, block_shingles), "near-dedup", outer=True)
+
+
+def _labelled(source: DataFrame, k: int, percent: int, cell_nodes: int, cell_shingles: int, block_nodes: int, block_shingles: int) -> DataFrame:
     signed = written(source.mapInArrow(_signatures(k, ROWS), "id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
 
     some = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())

@@ -14,7 +14,7 @@ move, never texts.
 
 Defined results: documents without words (null or empty text) have one row with size 0 and no bin; a null source
 is a source; a null cluster conflicts with nothing; rows of one id are packed one by one, and conflict as
-the same cluster does, if they have its value; an empty table gives an empty table.
+the same cluster does, if they have its value; other columns are not returned, whatever they are called; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import apart, n_words, written
 
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[int]:
@@ -131,8 +131,10 @@ def pack_documents(
 
     `cluster` numbers duplicate clusters; by default, equal texts are a cluster.
     """
-    cluster = F.xxhash64(text_col) if cluster is None else cluster
-    sized = written(docs.select(F.col(id_col).cast("long").alias("id"), n_words(text_col).alias("words"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster")), "pack-sizes")
+    rows = apart(docs.withColumn("__cluster", cluster) if cluster is not None else docs, __id=id_col, __text=text_col, __source=source_col, **({"__cluster": "__cluster"} if cluster is not None else {}))[0]
+    cluster = F.xxhash64("__text") if cluster is None else F.col("__cluster")
+    sized = rows.select(F.col("__id").cast("long").alias("id"), n_words("__text").alias("words"), F.col("__source").cast("string").alias("source"), cluster.cast("long").alias("cluster"))
+    sized = written(sized, "pack-sizes")
     whole = F.floor(F.col("words") / capacity).cast("long")
     n_pieces = whole + F.when(F.col("words") % capacity > 0, 1).otherwise(0)
     pieces = sized.filter("words > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)))

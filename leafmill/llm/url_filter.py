@@ -10,8 +10,9 @@ Edges come from a table (redirect logs) and from pages: canonical links and meta
 
 Defined results: a null URL, or one without `://`, has an empty host and path, no rule, no edges, and is
 allowed; fragments don't make another node; repeated rows get equal results; a table without edges skips the
-components; extra columns pass through; an empty table gives an empty table. The rule list is code
-of bounded length (up to a few hundred rules), not data.
+components; of rules of one length the later in code point order wins; extra columns pass through, and one that is called
+like a result column gets `_in` behind its name; an empty table gives an empty table. The rule list is code of bounded
+length (up to a few hundred rules), not data.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import apart, beside, place, written
 from .components import components
 
+RESULTS = ["host", "path", "rule", "verdict", "component"]
 #: The production rules.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -66,9 +68,10 @@ def _resolved(base: Column, target: Column) -> Column:
     """A target of a page's link as an absolute URL."""
     root = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
     return (
-        F.when(target.contains("://"), target)
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(_part(base, 1), F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(root, _part(base, 3), target))
         .otherwise(F.concat(root, F.regexp_replace(_part(base, 3), "[^/]*$", ""), target))
     )
 
@@ -77,7 +80,7 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     """(u, v): keys of pages and of the targets of their canonical links and meta refreshes."""
     html, url = F.col(html_col), F.col(url_col)
     some = pages.filter(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"))
-    found = some.select(url.alias("__url"), F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("__to")).filter(F.col("__to") != "")
+    found = some.select(url.alias("__url"), F.explode(F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), 1), F.regexp_extract_all(html, F.lit(_REFRESH), 1))).alias("__to")).filter(F.col("__to") != "")
     found = written(found.withColumn("__to", _resolved(F.col("__url"), F.regexp_replace("__to", "&amp;", "&"))), "url-links")
     return found.select(url_key(F.col("__url")).alias("u"), url_key(F.col("__to")).alias("v")).filter("u is not null and v is not null and u <> v")
 
@@ -87,26 +90,28 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redir
 
     `redirects` may have further edges as columns `u` and `v` with URLs.
     """
-    edges = page_edges(pages, url_col, html_col)
+    rows, given = apart(pages, __url=url_col, __html=html_col)
+    edges = page_edges(rows, "__url", "__html")
     if redirects is not None:
         edges = edges.unionByName(redirects.select(url_key(F.col("u")).alias("u"), url_key(F.col("v")).alias("v")))
     edges = written(edges.filter("u is not null and v is not null"), "url-edges")
-    host, path = host_and_path(F.col(url_col))
-    out = pages.drop(html_col).withColumns({"host": host, "path": path})
+    host, path = host_and_path(F.col("__url"))
+    out = rows.withColumns({"host": host, "path": path})
     rule, says = best_rule(F.col("host"), F.col("path"), rules)
     out = out.withColumns({"rule": rule, "__says": says})
     if edges.isEmpty():
-        return out.withColumns({"verdict": F.coalesce("__says", F.lit("allow")), "component": F.lit(None).cast("string")}).drop("__says")
+        out = out.withColumns({"verdict": F.coalesce("__says", F.lit("allow")), "component": F.lit(None).cast("string")})
+        return out.select(*beside(given, RESULTS, [place(given, html_col)]), *RESULTS)
     # Nodes that are only edge targets count too: a blocked target blocks the page that points to it.
     members = components(edges, label="url-components")
     members = members.select(F.col("node").alias("__node"), "component")
     node_host, node_path = host_and_path(F.col("__node"))
     blocked = members.filter(best_rule(node_host, node_path, rules)[1] == "block").select("component").distinct().withColumn("__blocked", F.lit(True))
     aliases = members.join(blocked, "component", "left")
-    out = out.withColumn("__key", url_key(F.col(url_col)))
+    out = out.withColumn("__key", url_key(F.col("__url")))
     out = out.join(aliases, out["__key"] == aliases["__node"], "left")
     verdict = F.coalesce(F.col("__says"), F.when(F.col("__blocked"), F.lit("block")), F.lit("allow"))
-    return out.withColumn("verdict", verdict).drop("__says", "__key", "__node", "__blocked")
+    return out.withColumn("verdict", verdict).select(*beside(given, RESULTS, [place(given, html_col)]), *RESULTS)
 
 
 ORACLE = r"""
