@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -28,14 +29,17 @@ def xxh3(content: pd.Series) -> pd.Series:
     return content.map(lambda x: _signed(xxhash.xxh3_64_intdigest(bytes(x) if not isinstance(x, str) else x.encode())) if x is not None else None).astype("Int64")
 
 
-@F.pandas_udf(LongType())
-def cache_key(source_hash: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
-    return pd.Series([cache_key_of(int(h), (int(a), int(b), int(c), int(d))) for h, a, b, c, d in zip(source_hash, x1, y1, x2, y2, strict=True)], dtype="int64")
+@F.arrow_udf(LongType())
+def cache_key(source_hash: pa.Array, x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array) -> pa.Array:
+    """`cache_key_of` by row; null for a null part."""
+    cells = zip(source_hash.to_pylist(), x1.to_pylist(), y1.to_pylist(), x2.to_pylist(), y2.to_pylist(), strict=True)
+    return pa.array([cache_key_of(c[0], c[1:]) if None not in c else None for c in cells], pa.int64())
 
 
-@F.pandas_udf(LongType())
-def region_key(content: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
-    """Key of a region's own bytes and its box."""
+@F.arrow_udf(LongType())
+def region_key(content: pa.Array, x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array) -> pa.Array:
+    """Key of a region's own bytes and its box; null for a null part."""
     import xxhash
 
-    return pd.Series([_signed(xxhash.xxh3_64_intdigest(bytes(x) + struct.pack("<4i", int(a), int(b), int(c), int(d)))) for x, a, b, c, d in zip(content, x1, y1, x2, y2, strict=True)], dtype="int64")
+    cells = zip(content.to_pylist(), x1.to_pylist(), y1.to_pylist(), x2.to_pylist(), y2.to_pylist(), strict=True)
+    return pa.array([_signed(xxhash.xxh3_64_intdigest(c[0] + struct.pack("<4i", *c[1:]))) if None not in c else None for c in cells], pa.int64())

@@ -56,15 +56,15 @@ def safe_filename(s: Column | str) -> Column:
 
 
 def css_font_url(css: Column | str) -> Column:
-    """URL of the first line with `src:` and `url(`, if it is a .woff2 or .ttf; else null."""
-    lines = F.filter(F.split(_c(css), "\n"), lambda x: x.contains("src:") & x.contains("url("))
-    url = F.regexp_replace(F.regexp_extract(F.get(lines, F.lit(0)), r"url\(([^)]*)\)", 1), "[\"']", "")
-    return F.when(url.contains(".woff2") | url.contains(".ttf"), url)
+    """The first URL of a .woff2 or .ttf among the lines with `src:` and `url(`, without quotes and blanks around it; else null."""
+    lines = F.filter(F.split(_c(css), "\r?\n"), lambda x: x.contains("src:") & x.contains("url("))
+    urls = F.transform(lines, lambda x: F.regexp_replace(F.regexp_extract(x, r"url\(([^)]*)\)", 1), "^['\" ]+|['\" ]+$", ""))
+    return F.get(F.filter(urls, lambda x: x.contains(".woff2") | x.contains(".ttf")), F.lit(0))
 
 
 def key_list(s: Column | str) -> Column:
-    """Comma-separated list, trimmed, without empty entries."""
-    return F.filter(F.transform(F.split(_c(s), ","), lambda x: F.trim(x)), lambda x: x != "")
+    """Comma-separated list, trimmed of any white space, without empty entries."""
+    return F.filter(F.transform(F.split(_c(s), ","), lambda x: trimmed(x)), lambda x: x != "")
 
 
 def enum_or(s: Column | str, allowed: tuple[str, ...], default: str, upper: bool = False) -> Column:
@@ -73,17 +73,28 @@ def enum_or(s: Column | str, allowed: tuple[str, ...], default: str, upper: bool
     return F.when(v.isin(*allowed), v).otherwise(F.lit(default))
 
 
-#: Families of built-in fonts.
-FONTS = {"arial": "Arial", "arial-bold": "Arial", "anime-ace": "Anime Ace", "anime-ace-3": "Anime Ace 3", "comic-sans": "Comic Sans MS", "noto-sans-mono": "Noto Sans Mono CJK JP"}
+def log_level(s: Column | str) -> Column:
+    """trace, debug, info, warn or error, whatever the case; `warning` is warn, anything else info."""
+    v = F.lower(_c(s))
+    return enum_or(F.when(v == "warning", F.lit("warn")).otherwise(v), ("trace", "debug", "info", "warn", "error"), "info")
+
+
+def text_align(s: Column | str) -> Column:
+    return enum_or(s, ("left", "center", "right"), "center")
+
+
+#: Families of built-in fonts, and generic families.
+FONTS = {
+    "anime-ace": "Anime Ace", "anime-ace-3": "Anime Ace 3", "arial": "Arial Unicode", "comic-sans": "Comic Sans", "ms-yahei": "Microsoft YaHei", "noto-sans-mono-cjk": "Noto Sans Mono CJK",
+    "sans-serif-regular": "sans-serif", "sans-serif-bold": "sans-serif", "serif-regular": "serif", "serif-bold": "serif", "monospace-regular": "monospace", "monospace-bold": "monospace",
+}
 
 
 def font_family(s: Column | str) -> Column:
-    """Built-in family, the name itself if it has a capital or a blank, else sans-serif."""
+    """Built-in or generic family; the name itself if it has a capital or a blank; else sans-serif."""
     s = _c(s)
-    out = F.when(s.rlike("[A-Z ]"), s).otherwise(F.lit("sans-serif"))
-    for name, family in FONTS.items():
-        out = F.when(s == name, F.lit(family)).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for pair in FONTS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, s), F.when(s.rlike(r"[\p{Lu} ]"), s), F.lit("sans-serif"))
 
 
 def is_bold(s: Column | str) -> Column:

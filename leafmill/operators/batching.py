@@ -57,3 +57,39 @@ def retry_delays(attempts: int, limited: Column | bool = False, base_ms: int = 1
 def capped_delays(attempts: int, first_ms: int = 1000, most_ms: int = 10_000) -> Column:
     """Doubling delays with a cap."""
     return F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), lambda i: F.least(F.pow(F.lit(2), i) * first_ms, F.lit(most_ms)).cast("long"))
+
+
+def jittered_delays(attempts: int, limited: Column, *seed: Column, base_ms: int = 1000, limit_ms: int = 10_000) -> Column:
+    """As `retry_delays`, with 0 to 999 ms added to the doubling delays, by a hash of the seed and the attempt: retries of a task agree."""
+    jitter = lambda i: F.pmod(F.xxhash64(*seed, i), F.lit(1000))
+    return F.transform(F.sequence(F.lit(0), F.lit(attempts)), lambda i: F.when(limited, F.lit(limit_ms)).otherwise(F.pow(F.lit(2), i) * base_ms + jitter(i)).cast("long"))
+
+
+def tiers(keys: DataFrame, key: str, health: str, idle_s: Column, recover_s: int = 60) -> DataFrame:
+    """The keys that a pick may take, with `slot` and `slots`: the Healthy ones; without any, the Degraded ones; without any, the
+    Unhealthy ones whose last failure is more than `recover_s` seconds ago (or unknown). There may be none.
+
+    A pool has few keys (it is configuration), so its window is one small task.
+    """
+    tier = F.when(F.col(health) == "Healthy", 0).when(F.col(health) == "Degraded", 1).when(F.coalesce(idle_s > recover_s, F.lit(True)), 2)
+    best = Window.partitionBy()
+    ranked = keys.withColumn("__tier", tier).filter("__tier is not null").withColumn("__best", F.min("__tier").over(best)).filter("__tier = __best")
+    return ranked.select(key, (F.row_number().over(best.orderBy(key)) - 1).cast("long").alias("slot"), F.count(F.lit(1)).over(best).alias("slots"))
+
+
+def picked(requests: DataFrame, place: str, pool: DataFrame, key: str) -> DataFrame:
+    """requests with the key that each takes in turn from a pool of `tiers`; null if it has none. `place` numbers them from 0."""
+    size = pool.agg(F.count(F.lit(1)).alias("__slots"))
+    turn = requests.crossJoin(F.broadcast(size)).withColumn("__slot", F.when(F.col("__slots") > 0, F.pmod(F.col(place), F.col("__slots"))))  # one row
+    return turn.join(F.broadcast(pool.select(F.col(key).alias("picked"), F.col("slot").alias("__at"))), F.col("__slot") == F.col("__at"), "left").drop("__slots", "__slot", "__at")
+
+
+def failover(attempts: DataFrame, request: str, turn: str, ok: Column, most: Column) -> DataFrame:
+    """Outcome of each request over its attempts, at most `most` (the number of keys): tries, whether one succeeded, and the turn that did.
+
+    Attempts after the first success, or beyond the bound, were never made.
+    """
+    made = attempts.filter(F.col(turn) < most)
+    first = F.min(F.when(ok, F.col(turn)))
+    out = made.groupBy(request).agg(first.alias("winner"), F.count(F.lit(1)).alias("__n"))
+    return out.select(request, F.coalesce(F.col("winner") + 1, F.col("__n")).cast("long").alias("tries"), F.col("winner").isNotNull().alias("succeeded"), F.col("winner").cast("long").alias("winner"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import not_blank
 from .geometry import BOX, overlaps, within
 
 
@@ -39,21 +40,49 @@ def background(white: Column, total: Column, threshold: float = 0.6) -> Column:
     return F.when((total > 0) & (white / F.nullif(total, F.lit(0)) >= threshold), F.lit("Simple")).otherwise(F.lit("Complex"))
 
 
+def with_page_boxes(det: DataFrame, white: Column | None = None) -> DataFrame:
+    """det with n_children, child_area and white of each box of label 0, and `alone` for boxes of label 1 in no box of label 0.
+
+    One window over a page's boxes, which are few: no join, and the table is read once. `white` is a child's
+    white-pixel count, by default its area.
+    """
+    area = F.greatest(F.col("x2") - F.col("x1"), F.lit(0)) * F.greatest(F.col("y2") - F.col("y1"), F.lit(0))
+    box = F.struct(*BOX, area.cast("long").alias("area"), (white if white is not None else area).cast("long").alias("white"))
+    page = Window.partitionBy("page_index")
+    of = lambda label: F.collect_list(F.when(F.col("label") == label, box)).over(page)
+    rows = det.withColumns({"__outer": of(0), "__inner": of(1)})
+    inside = lambda a, b: (a["x1"] >= b["x1"]) & (a["y1"] >= b["y1"]) & (a["x2"] <= b["x2"]) & (a["y2"] <= b["y2"])
+    me = {c: F.col(c) for c in BOX}
+    rows = rows.withColumn("__kids", F.when(F.col("label") == 0, F.filter("__inner", lambda c: inside(c, me))))
+    total = lambda field: F.when(F.col("label") == 0, F.aggregate("__kids", F.lit(0).cast("long"), lambda s, c: s + c[field])).otherwise(F.lit(0).cast("long"))
+    return rows.withColumns({
+        "n_children": F.when(F.col("label") == 0, F.size("__kids")).otherwise(0).cast("long"), "child_area": total("area"), "white": total("white"),
+        "alone": (F.col("label") == 1) & ~F.exists("__outer", lambda p: inside(me, p)),
+    }).drop("__outer", "__inner", "__kids")
+
+
 def categorised(det: DataFrame, white: Column | None = None, keep_orphans: bool = True, include_free_text: bool = True) -> DataFrame:
     """Region id, page, label, box, background and number and area of children.
 
     Ids are page * 10000 + place in the order: label 0, orphans, label 2, each by bubble_index. `white`
     is a child's white-pixel count; label 0 without children, orphans and label 2 are Complex.
     """
-    area = F.greatest(F.col("c.x2") - F.col("c.x1"), F.lit(0)) * F.greatest(F.col("c.y2") - F.col("c.y1"), F.lit(0))
-    pairs = children(det).select("p.page_index", F.col("p.bubble_index").alias("bubble_index"), area.alias("area"), (white if white is not None else area).alias("white"))
-    sums = pairs.groupBy("page_index", "bubble_index").agg(F.count(F.lit(1)).alias("n_children"), F.sum("area").cast("long").alias("child_area"), F.sum("white").cast("long").alias("white"))
-    zero = F.lit(0).cast("long")
-    first = det.filter("label = 0").join(sums, ["page_index", "bubble_index"], "left").withColumns({"n_children": F.coalesce("n_children", zero), "child_area": F.coalesce("child_area", zero), "white": F.coalesce("white", zero)})
-    first = first.withColumn("background_type", background(F.col("white"), F.col("child_area")))
-    alone = det.filter("label = 2") if not keep_orphans else orphans(det).unionByName(det.filter("label = 2"))
-    alone = alone.withColumns({"n_children": zero, "child_area": zero, "white": zero, "background_type": F.lit("Complex")})
+    rows = with_page_boxes(det, white).filter(F.col("label").isin(0, 2) | (F.col("alone") & F.lit(keep_orphans)))
     rank = Window.partitionBy("page_index").orderBy("label", "bubble_index")
-    out = first.unionByName(alone).withColumn("region_id", F.col("page_index") * 10000 + F.row_number().over(rank) - 1)
+    out = rows.withColumns({"background_type": background(F.col("white"), F.col("child_area")), "region_id": F.col("page_index") * 10000 + F.row_number().over(rank) - 1})
     out = out if include_free_text else out.filter("label <> 2")
     return out.select("page_index", "region_id", "label", *BOX, "background_type", "n_children", "child_area")
+
+
+def renderable(regions: DataFrame, translations: DataFrame, replaced: DataFrame, keys: list[str], text: str = "translated_text") -> DataFrame:
+    """Regions whose text is drawn, with it: not replaced by an image, with a translation that isn't blank, and with child boxes."""
+    some = translations.filter(not_blank(text)).select(*keys, text)
+    return regions.filter("n_children > 0").join(some, keys).join(replaced.select(*keys), keys, "left_anti")
+
+
+def cleaned_or_skipped(regions: DataFrame, valid: DataFrame | None, keys: list[str]) -> DataFrame:
+    """regions with `cleaned`: whether the region is in the valid set (all are without a set). The others pass through as they are."""
+    if valid is None:
+        return regions.withColumn("cleaned", F.lit(True))
+    known = valid.select(*keys).distinct().withColumn("__valid", F.lit(True))
+    return regions.join(known, keys, "left").withColumn("cleaned", F.coalesce("__valid", F.lit(False))).drop("__valid")

@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, params, raster, text
 from ..operators import batching, exchange, geometry, health, metrics, regions, sequence
 from ..session import table
 from ..sources import readers, writers
+from . import pixels, service  # noqa: F401  register their queries
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .relations import CALLS_SQL, DET_SQL, calls, detections
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 DET, CALLS = f"WITH {DET_SQL}", f"WITH {CALLS_SQL}"
 _IN = "c.x1 >= p.x1 AND c.y1 >= p.y1 AND c.x2 <= p.x2 AND c.y2 <= p.y2"
 _TOUCH = "c.x2 >= p.x1 AND p.x2 >= c.x1 AND c.y2 >= p.y1 AND p.y2 >= c.y1"
@@ -105,13 +89,7 @@ def q_partial_overlap_warnings(spark, sf):
 
 @query(f"{DET} SELECT page_index, bubble_index FROM det p WHERE label = 0 AND NOT EXISTS (SELECT 1 FROM det c WHERE c.page_index = p.page_index AND c.label = 1 AND {_IN})")
 def q_childless_parents(spark, sf):
-    return regions.categorised(detections(spark, sf)).filter("label = 0 and n_children = 0").select("page_index", (F.col("region_id") - F.col("page_index") * 10000).cast("int").alias("rank")).join(
-        _ranked_parents(detections(spark, sf)), ["page_index", "rank"]).select("page_index", "bubble_index")
-
-
-def _ranked_parents(det: DataFrame) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("page_index").orderBy("bubble_index")) - 1
-    return det.filter("label = 0").select("page_index", "bubble_index", rank.alias("rank"))
+    return regions.with_page_boxes(detections(spark, sf)).filter("label = 0 and n_children = 0").select("page_index", "bubble_index")
 
 
 @query(f"{DET} SELECT page_index, bubble_index FROM det c WHERE label = 1 AND NOT EXISTS (SELECT 1 FROM det p WHERE p.page_index = c.page_index AND p.label = 0 AND {_IN})")
@@ -135,8 +113,8 @@ def q_categorised_regions(spark, sf):
 
 
 def _categorised(spark, sf) -> DataFrame:
-    area = (F.col("c.x2") - F.col("c.x1")) * (F.col("c.y2") - F.col("c.y1"))
-    return regions.categorised(detections(spark, sf), white=F.when(F.col("c.score") >= 50, area).otherwise(0))
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    return regions.categorised(detections(spark, sf), white=F.when(F.col("score") >= 50, area).otherwise(0))
 
 
 @query(f"""{_CATEGORISED} SELECT page_index, count(*) AS n_regions, count(*) FILTER (label = 0) AS n_label_0, count(*) FILTER (label = 1) AS n_label_1, count(*) FILTER (label = 2) AS n_label_2,
@@ -175,23 +153,6 @@ def q_nms_boxes(spark, sf):
     return geometry.nms(detections(spark, sf), ["page_index", "label"], "score", ["bubble_index"], 0.3)
 
 
-@query("""WITH RECURSIVE n AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
-k AS (
-  SELECT label, rn, [{'vec_id': vec_id, 'e': embedding}] AS kept FROM n WHERE rn = 1
-  UNION ALL
-  SELECT n.label, n.rn, CASE WHEN len(list_filter(kept, lambda y: list_cosine_similarity(y.e, n.embedding) > 0.3)) > 0 THEN kept ELSE list_append(kept, {'vec_id': n.vec_id, 'e': n.embedding}) END
-  FROM k JOIN n ON n.label = k.label AND n.rn = k.rn + 1)
-SELECT label, CAST(len(max_by(kept, rn)) AS BIGINT) AS n_kept FROM k GROUP BY label""")
-def q_nms_embeddings(spark, sf):
-    """Greedy suppression by cosine similarity."""
-    wide = lambda e: F.transform(e, lambda x: x.cast("double"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = table(spark, sf, "embeddings").withColumn("e", wide("embedding")).withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e"))))
-    clash = lambda a, b: dot(a["e"], b["e"]) > 0.3 * a["norm"] * b["norm"]
-    kept = geometry.greedy_suppression(e, ["label"], [F.col("vec_id")], F.struct("e", "norm"), clash)
-    return kept.select("label", F.size("kept").cast("long").alias("n_kept"))
-
-
 @query(f"{DET} SELECT page_index, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, CAST(sum(greatest(x2 - x1, 0) * greatest(y2 - y1, 0)) FILTER (label = 1) AS BIGINT) AS child_area FROM det GROUP BY page_index")
 def q_bbox_union(spark, sf):
     area = F.greatest(F.col("x2") - F.col("x1"), F.lit(0)) * F.greatest(F.col("y2") - F.col("y1"), F.lit(0))
@@ -240,24 +201,6 @@ def q_retry_schedule(spark, sf):
 # ---------------------------------------------------------------- cache and exchange
 
 
-_CACHE = "SELECT md5(text) AS k, min(doc_id) AS cached_id FROM documents WHERE doc_id % 3 = 0 GROUP BY 1"
-
-
-def _cache(spark, sf) -> tuple[DataFrame, DataFrame]:
-    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("k"))
-    return d, d.filter("doc_id % 3 = 0").groupBy("k").agg(F.min("doc_id").alias("cached_id"))
-
-
-@query(f"SELECT doc_id, cached_id FROM documents JOIN ({_CACHE}) ON md5(text) = k")
-def q_cache_probe_hits(spark, sf):
-    return exchange.cache_hits(*_cache(spark, sf), "k").select("doc_id", "cached_id")
-
-
-@query(f"SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT k FROM ({_CACHE}))")
-def q_cache_probe_misses(spark, sf):
-    return exchange.cache_misses(*_cache(spark, sf), "k").select("doc_id")
-
-
 @query()
 def q_cache_keys_xxh3(spark, sf):
     """Keys of the exact format: XXH3 of a page's hash and a box."""
@@ -266,13 +209,6 @@ def q_cache_keys_xxh3(spark, sf):
     return d.select("doc_id", "source_hash", text.hex_key(hashing.cache_key("source_hash", *box)).alias("cache_key"))
 
 
-@query("""SELECT k, max_by(v, (prio, v)) AS v FROM (SELECT o_custkey AS k, CAST(max(o_orderkey) AS VARCHAR) AS v, 0 AS prio FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, c_name, 1 FROM customer WHERE c_custkey % 4 = 0) GROUP BY k""")
-def q_cache_upsert(spark, sf):
-    old = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").cast("string").alias("v"))
-    new = table(spark, sf, "customer").filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
-    return exchange.upsert(old, new, ["k"], ["v"])
-
-
 @query("SELECT user_id, last_event FROM (SELECT user_id, max(ts) AS t, max(event_id) AS last_event FROM events GROUP BY user_id) ORDER BY t DESC, user_id LIMIT 100")
 def q_lru_topk(spark, sf):
     used = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("t"), F.max("event_id").alias("last_event"))
@@ -305,13 +241,6 @@ def q_translation_fallback(spark, sf):
     return exchange.with_fallback(table(spark, sf, "documents").select("doc_id", "lang"), found, ["doc_id"], "value", F.col("lang")).select("doc_id", "value")
 
 
-@query("""SELECT o_orderkey, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey), '') AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <= 2 GROUP BY o_orderkey""")
-def q_page_fanin_lists(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_linenumber <= 2").withColumnRenamed("l_orderkey", "o_orderkey")
-    out = exchange.fan_in(table(spark, sf, "orders").select("o_orderkey"), li, "o_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], F.col("l_partkey").cast("string"))
-    return out.select("o_orderkey", F.array_join("items", ",").alias("parts"))
-
-
 @query(f"{DET} SELECT o.page_index, o.bubble_index, coalesce(p.x1, 0) AS x1, coalesce(p.y1, 0) AS y1 FROM det o LEFT JOIN (SELECT page_index, arg_min(x1, bubble_index) AS x1, arg_min(y1, bubble_index) AS y1 FROM det WHERE label = 0 GROUP BY 1) p USING (page_index)")
 def q_first_match_box(spark, sf):
     d = detections(spark, sf)
@@ -336,11 +265,6 @@ def q_union_cached_new(spark, sf):
     return la.filter("toxic = 0").select("doc_id", F.lit("cached").alias("kind")).unionByName(la.filter("quality = 1").select("doc_id", F.lit("new").alias("kind")))
 
 
-@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS joined FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY conv_id")
-def q_child_text_concat(spark, sf):
-    return exchange.joined_text(table(spark, sf, "conversations").filter("role = 'user'"), ["conv_id"], ["turn"], "text")
-
-
 # ---------------------------------------------------------------- metrics
 
 
@@ -380,7 +304,7 @@ t AS (SELECT user_id, count(*) AS requests, count(*) FILTER (NOT ok) AS failures
 z AS (SELECT t.*, coalesce(max(n) FILTER (NOT ok AND e = last), 0) AS f, coalesce(max(n) FILTER (ok AND e = last), 0) AS s, max(r.t) FILTER (NOT ok AND e = last) AS lf FROM t JOIN r USING (user_id) GROUP BY ALL)
 SELECT user_id, requests, failures, f AS consecutive_failures, s AS consecutive_successes, CASE WHEN f >= 3 THEN 'Unhealthy' WHEN f > 0 AND now - lf < 60 THEN 'Degraded' ELSE 'Healthy' END AS health FROM z""")
 def q_key_health(spark, sf):
-    return health.key_health(calls(spark, sf), "user_id", "at", "event_id", F.col("ok"))
+    return health.key_health(calls(spark, sf), "user_id", "at", "event_id", F.col("ok")).drop("failure_rate", "last_failure")
 
 
 @query(f"""WITH RECURSIVE {CALLS_SQL}, o AS (SELECT user_id, sec, ok, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS i FROM calls),
@@ -447,14 +371,6 @@ def q_ctc_decode(spark, sf):
     return e.select("vec_id", sequence.decode(sequence.ctc_collapse(F.col("idx"), 0), words).alias("decoded"), F.round(sequence.ctc_confidence(F.col("best")), 6).alias("confidence"))
 
 
-@query("""WITH q AS (SELECT doc_id, substr(text, 1, CAST(doc_id % 5 AS INTEGER)) AS t, (doc_id % 10) / 10.0::DOUBLE AS conf FROM documents)
-SELECT doc_id, CASE WHEN length(t) = 0 THEN false WHEN length(t) <= 2 AND regexp_matches(t, '^[!-~]+$') THEN false WHEN regexp_matches(t, '^[!-~]+$') AND conf < 0.5 THEN false ELSE conf >= 0.2 END AS good,
-CASE WHEN length(t) = 0 THEN false WHEN length(t) <= 2 THEN false ELSE conf >= 0.4 END AS good_strict FROM q""")
-def q_text_quality_gate(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substr("text", F.lit(1), (F.col("doc_id") % 5).cast("int")).alias("t"), ((F.col("doc_id") % 10) / F.lit(10.0)).alias("conf"))
-    return d.select("doc_id", text.quality_gate("t", "conf").alias("good"), text.strict_gate("t", "conf").alias("good_strict"))
-
-
 @query(f"""{DET}, r AS (SELECT page_index, max(score) FILTER (label = 1) AS a, max(score) FILTER (label = 2) AS b, count(*) FILTER (label = 1) AS ca, count(*) FILTER (label = 2) AS cb FROM det GROUP BY page_index)
 SELECT page_index, CASE WHEN ca > cb OR ca = cb AND a >= b THEN 'first' ELSE 'second' END AS reading FROM r WHERE a IS NOT NULL AND b IS NOT NULL""")
 def q_better_reading(spark, sf):
@@ -522,24 +438,6 @@ def q_retryable(spark, sf):
 # ---------------------------------------------------------------- raster arithmetic
 
 
-@query("""WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, embedding[i + 1] > 0.15 AS m FROM embeddings, (SELECT unnest(range(0, 64)) AS i)),
-d AS (SELECT a.vec_id, a.y, a.x, bool_or(b.m) AS m FROM p a JOIN p b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL)
-SELECT vec_id, count(*) FILTER (m) AS n_on, round(100.0 * count(*) FILTER (m) / 64, 4) AS coverage FROM d GROUP BY vec_id""")
-def q_mask_dilate(spark, sf):
-    """Embeddings as 8 x 8 heat maps: mask and two rounds of dilation in Arrow batches."""
-    return table(spark, sf, "embeddings").select("vec_id", "embedding").mapInArrow(_dilated, "vec_id long, n_on long, coverage double")
-
-
-def _dilated(batches):
-    import numpy as np
-    import pyarrow as pa
-
-    for batch in batches:
-        maps = np.array(batch.column(1).to_pylist(), np.float32).reshape(-1, 8, 8)
-        on = [int((raster.dilate(raster.mask_of(m, 0.15)) > 0).sum()) for m in maps]
-        yield pa.record_batch({"vec_id": batch.column(0), "n_on": pa.array(on, pa.int64()), "coverage": pa.array([round(100.0 * n / 64, 4) for n in on], pa.float64())})
-
-
 @query(f"""{DET} SELECT page_index, bubble_index, CAST(trunc(label * 100 * (score / 100.0::DOUBLE) + 200 * (1.0 - score / 100.0::DOUBLE)) AS INTEGER) AS blended,
 CAST(least(greatest(trunc((y2 - y1) * 0.15), 40), 80) AS INTEGER) AS panel, CAST(least(greatest(trunc(least(x2 - x1, y2 - y1) * 0.02), 2), 8) AS INTEGER) AS margin,
 CAST(greatest(ceil((x2 - x1) * 1.5 / 64) * 64, 256) AS INTEGER) AS fitted FROM det""")
@@ -548,111 +446,6 @@ def q_raster_geometry(spark, sf):
     return detections(spark, sf).select("page_index", "bubble_index", raster.blend(F.col("label") * 100, F.lit(200), a).alias("blended"), raster.panel_width(h).alias("panel"), raster.text_margin(w, h).alias("margin"), raster.fitted_side(w, F.lit(1.5)).alias("fitted"))
 
 
-@query()
-def q_png_pages(spark, sf):
-    """Embeddings as grey images in PNG form."""
-    return table(spark, sf, "embeddings").select("vec_id", "embedding").mapInArrow(_pngs, "vec_id long, png binary").select("vec_id", text.data_url("png").alias("url"))
-
-
-def _pngs(batches):
-    import numpy as np
-    import pyarrow as pa
-
-    for batch in batches:
-        maps = np.array(batch.column(1).to_pylist(), np.float32).reshape(-1, 8, 8)
-        yield pa.record_batch({"vec_id": batch.column(0), "png": pa.array([raster.png((np.clip(m, 0, 1) * 255).astype(np.uint8)) for m in maps], pa.binary())})
-
-
-def _maps(batches, of, names: tuple[str, ...], kinds: tuple[str, ...]):
-    """Record batches of vec_id and `of(8 x 8 map)` for batches of (vec_id, embedding)."""
-    import numpy as np
-    import pyarrow as pa
-
-    for batch in batches:
-        found = [of(np.array(e, np.float64).reshape(8, 8)) for e in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], names=["vec_id", *names])
-
-
-def _upscaled_sql(corners: bool) -> str:
-    at = "i * 7 / 14.0::DOUBLE" if corners else "least(i * 8 / 15.0::DOUBLE, 7)"
-    return f"""SELECT vec_id, round(sum(v), 4) AS total, count(*) FILTER (v > 0.1) AS n_on FROM (
-  SELECT vec_id, (e[8 * y0 + x0 + 1] * (1 - fx) + e[8 * y0 + x1 + 1] * fx) * (1 - fy) + (e[8 * y1 + x0 + 1] * (1 - fx) + e[8 * y1 + x1 + 1] * fx) * fy AS v
-  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-    (SELECT CAST(floor(p) AS INT) AS y0, CAST(least(floor(p) + 1, 7) AS INT) AS y1, p - floor(p) AS fy FROM (SELECT {at} AS p FROM (SELECT unnest(range(0, 15)) AS i))),
-    (SELECT CAST(floor(p) AS INT) AS x0, CAST(least(floor(p) + 1, 7) AS INT) AS x1, p - floor(p) AS fx FROM (SELECT {at} AS p FROM (SELECT unnest(range(0, 15)) AS i)))) GROUP BY vec_id"""
-
-
-def _upscaled(spark, sf, corners: bool) -> DataFrame:
-    def of(m):
-        wide = raster.resize_bilinear(m, 15, 15, corners)
-        return round(float(wide.sum()), 4), int((raster.mask_of(wide, 0.1) > 0).sum())
-
-    d = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return d.mapInArrow(lambda b: _maps(b, of, ("total", "n_on"), ("double", "int64")), "vec_id long, total double, n_on long")
-
-
-@query(_upscaled_sql(True))
-def q_upscaled_corners(spark, sf):
-    """8 x 8 heat maps at 15 x 15, corners aligned, and their masks."""
-    return _upscaled(spark, sf, True)
-
-
-@query(_upscaled_sql(False))
-def q_upscaled_ratio(spark, sf):
-    """8 x 8 heat maps at 15 x 15, by the ratio of the sizes."""
-    return _upscaled(spark, sf, False)
-
-
-@query("""SELECT label, i AS pos, max(embedding[i + 1]) AS v, bool_or(embedding[i + 1] > 0.15) AS masked FROM embeddings, (SELECT CAST(unnest(range(0, 64)) AS INTEGER) AS i) GROUP BY label, i""")
-def q_heat_max_by_label(spark, sf):
-    """Element-wise largest value of a label's heat maps, and the union of their masks: partial aggregates of pixels."""
-    e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
-    return e.groupBy("label", "pos").agg(F.max("v").alias("v"), F.bool_or(F.col("v") > 0.15).alias("masked"))
-
-
-@query("""WITH RECURSIVE p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x FROM embeddings, (SELECT unnest(range(0, 64)) AS i) WHERE embedding[i + 1] > 0.15),
-r AS (SELECT vec_id, y * 8 + x AS root, y, x FROM p UNION SELECT p.vec_id, r.root, p.y, p.x FROM r JOIN p ON p.vec_id = r.vec_id AND abs(p.y - r.y) <= 1 AND abs(p.x - r.x) <= 1),
-c AS (SELECT vec_id, y, x, min(root) AS part FROM r GROUP BY ALL),
-b AS (SELECT vec_id, part, (max(x) + 1 - min(x)) * (max(y) + 1 - min(y)) AS area FROM c GROUP BY ALL)
-SELECT e.vec_id, count(area) AS n_boxes, CAST(coalesce(sum(area), 0) AS BIGINT) AS area FROM embeddings e LEFT JOIN b ON b.vec_id = e.vec_id AND area >= 4 GROUP BY e.vec_id""")
-def q_mask_contours(spark, sf):
-    """Boxes of the connected parts of each mask, of an area of 4 at least."""
-    def of(m):
-        boxes = raster.bounding_boxes(raster.mask_of(m, 0.15), 4)
-        return len(boxes), sum((x2 - x1) * (y2 - y1) for x1, y1, x2, y2 in boxes)
-
-    d = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return d.mapInArrow(lambda b: _maps(b, of, ("n_boxes", "area"), ("int64", "int64")), "vec_id long, n_boxes long, area long")
-
-
-_WHITE = "count(*) FILTER (embedding[i + 1] >= 0.05 AND i // 8 BETWEEN 1 AND 3 AND i % 8 BETWEEN 1 AND 3) + count(*) FILTER (embedding[i + 1] >= 0.05 AND i // 8 BETWEEN 2 AND 6 AND i % 8 BETWEEN 2 AND 6)"
-
-
-@query(f"""SELECT vec_id, {_WHITE} AS white, CAST(34 AS BIGINT) AS total, CASE WHEN ({_WHITE}) / 34.0::DOUBLE >= 0.4 THEN 'Simple' ELSE 'Complex' END AS background_type
-FROM embeddings, (SELECT unnest(range(0, 64)) AS i) GROUP BY vec_id""")
-def q_white_ratio(spark, sf):
-    """White pixels of two overlapping child boxes inside a parent box, on embeddings as images."""
-    import numpy as np
-
-    def of(m):
-        image = np.repeat(np.where(m.astype(np.float32) >= np.float32(0.05), 255, 0)[..., None], 3, axis=2)
-        return raster.white_share(image, (1, 1, 7, 7), [(0, 0, 4, 4), (2, 2, 8, 8)])
-
-    d = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    shares = d.mapInArrow(lambda b: _maps(b, of, ("white", "total"), ("int64", "int64")), "vec_id long, white long, total long")
-    return shares.withColumn("background_type", regions.background(F.col("white"), F.col("total"), 0.4))
-
-
-@query("""SELECT vec_id, array_to_string([CASE WHEN embedding[(i % 8) * 8 + 8 - i // 8] > 0.15 THEN 1 ELSE 0 END for i in range(0, 64)], '') AS bits FROM embeddings""")
-def q_rotated_masks(spark, sf):
-    """Masks turned left by 90 degrees."""
-    def of(m):
-        return ("".join("1" if v else "0" for v in (raster.rotate_left(raster.mask_of(m, 0.15)) > 0).ravel()),)
-
-    d = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return d.mapInArrow(lambda b: _maps(b, of, ("bits",), ("string",)), "vec_id long, bits string")
-
-
 @query(f"{DET} SELECT page_index, bubble_index, greatest(x1 - 5, 0) AS x1, greatest(y1 - 5, 0) AS y1, least(x2 + 5, 400) AS x2, least(y2 + 5, 300) AS y2 FROM det")
 def q_padded_boxes(spark, sf):
     d = detections(spark, sf).withColumns({"x1": F.col("x1") - 5, "y1": F.col("y1") - 5, "x2": F.col("x2") + 5, "y2": F.col("y2") + 5})

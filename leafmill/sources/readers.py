@@ -19,9 +19,20 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
     return ordinal(named, ["path"], "page_index").select("page_index", "filename", "content")
 
 
+def required(files: DataFrame) -> DataFrame:
+    """files, or an error if there is none: a request without images is refused."""
+    if files.isEmpty():
+        raise ValueError("No images provided")
+    return files
+
+
 def decoded_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Bitmaps decoded by Spark's image source; files that can't be decoded are left out."""
-    return spark.read.format("image").option("dropInvalid", True).load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    """Bitmaps decoded by Spark's image source, with `error` for files that can't be decoded: their rows are kept."""
+    image = F.col("image")
+    out = spark.read.format("image").option("dropInvalid", False).load(folder)
+    bad = image["height"] < 0
+    size = lambda name: F.when(~bad, image[name]).alias(name)
+    return out.select(image["origin"].alias("origin"), size("height"), size("width"), size("nChannels"), size("data"), F.when(bad, F.lit("image can't be decoded")).alias("error"))
 
 
 def cache_entries(lines: DataFrame, value: str = "value") -> DataFrame:
