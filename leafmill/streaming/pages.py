@@ -21,7 +21,7 @@ from ..operators.health import Breaker
 
 def page_stream(spark: SparkSession, folder: str, files_a_batch: int = 4) -> DataFrame:
     """New images of a folder, so many files a micro-batch (back pressure)."""
-    out = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", "*").load(folder)
+    out = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", "*").load(folder)
     return out.filter(F.lower("path").rlike(r"\.(webp|png|jpe?g)$")).select("path", "modificationTime", "content")
 
 
