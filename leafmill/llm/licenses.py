@@ -3,8 +3,8 @@
 Paragraphs are the lines of a text that have a word. Sparse features are hashes of their word 1- and 2-grams
 (A-Z folded). A multinomial logistic regression over license families and `unknown` is trained on
 variants of the templates (words dropped, put before and behind, names and years filled in) against
-paragraphs without a license cue word of at most `train_chars` characters, at most `sample` of them, drawn by a hash: the stated
-bounds of the training set, and of nothing else. A temperature fitted on other variants calibrates its probabilities.
+paragraphs without a license cue word of at most `train_chars` characters, at most `sample` of them, of about four
+times as many documents, all drawn by hashes: the stated bounds of the training set, and of nothing else. A temperature fitted on other variants calibrates its probabilities.
 
 Notices are found by the 3-token runs of the templates (tokens have no punctuation) in the whole text, so also inside a long line
 or over line ends: a span that holds `contained` of a template's runs and the family's marks (version, BY, NC, SA, ND) is one; of
@@ -324,11 +324,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = apart(docs, doc_id=id_col, text=text_col)[0].select("doc_id", "text")
     text = F.col("text")
     cues = "|".join(("licen[sc]e", "copyright", "redistribut", "permission", "public domain", "rights reserved", "creative commons"))
-    lines = rows.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line"))
+    # Documents are drawn by a hash first, about `sample` times four, so that only their lines are cut and looked at.
+    total = rows.count()
+    share = min(1.0, 4.0 * sample / max(1, total))
+    drawn = rows.filter(F.pmod(F.xxhash64(F.lit("license"), "doc_id", "text"), F.lit(1 << 40)) <= F.lit(int(share * (1 << 40))))
+    lines = drawn.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line"))
     lines = lines.filter(F.col("line").rlike(WORD) & (F.length("line") <= train_chars) & ~F.lower("line").rlike(cues)).withColumn("h", F.xxhash64(F.lit("license"), "line"))
-    # So few lines are left by a threshold on the hash that the driver gets about twice the sample at most.
-    share = min(1.0, 2.0 * sample / max(1, lines.filter("pmod(h, 64) = 0").count() * 64))
-    lines = lines.filter(F.pmod("h", F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))).orderBy("h", "line").select("line").limit(sample)
+    lines = lines.orderBy("h", "line").select("line").limit(sample)
     model = fit(sorted(r.line for r in lines.collect()))
     known = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(_scan(known, least, contained), "doc_id long, n_paragraphs long, n_licenses long, n_reserved long, n_unconfirmed long, families string, score double")

@@ -152,7 +152,7 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, known: list[in
     ends = np.cumsum(size)
     order = np.argsort(size, kind="stable").tolist()
     index: dict[int, list[int]] = {}
-    scratch = np.zeros(len(often), bool)
+    here = np.zeros(len(often), bool)
     whole_rank = [rank[ends[i] - size[i] : ends[i]] for i in range(m)]
     for i in order:
         mine, n = whole_rank[i], int(size[i])
@@ -160,7 +160,7 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, known: list[in
             continue
         rare = mine[np.lexsort((mine, often[mine]))][: n - -(-percent * n // 100) + 1].tolist()
         at, tried = root(i), set()
-        scratch[mine] = True
+        here[mine] = True
         for r in rare:
             for j in index.get(r, ()):
                 if j in tried:
@@ -169,13 +169,13 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, known: list[in
                 k = root(j)
                 if k == at or 100 * int(size[j]) < percent * n:
                     continue
-                both = int(np.count_nonzero(scratch[whole_rank[j]]))
+                both = int(np.count_nonzero(here[whole_rank[j]]))
                 if 100 * both >= percent * (n + int(size[j]) - both):
                     parent[at] = k
                     at = k
                     u.append(int(ids[i]))
                     v.append(int(ids[j]))
-        scratch[mine] = False
+        here[mine] = False
         for r in rare:
             index.setdefault(r, []).append(i)
     return u, v
@@ -239,17 +239,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     source = apart(docs, id=id_col, text=text_col)[0].select(F.col("id").cast("long").alias("id"), "text")
     with scratch(docs.sparkSession, "near-dedup"):
-        return written(_labelled(source, k, percent, cell_nodes, cell_shingles, block_nodes, block_shingles), "near-dedup", outer=True)
+        return _labelled(source, k, percent, cell_nodes, cell_shingles, block_nodes, block_shingles)
 
 
 def _labelled(source: DataFrame, k: int, percent: int, cell_nodes: int, cell_shingles: int, block_nodes: int, block_shingles: int) -> DataFrame:
-    signed = written(source.mapInArrow(_signatures(k, ROWS), "id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
+    signed = written(source.mapInArrow(_signatures(k, ROWS), "id long, n long, h1 long, h2 long, bands array<long>"), "signatures", outer=True)
 
     some = signed.filter((F.col("n") > 0) & F.col("id").isNotNull())
     keyed = some.groupBy("n", "h1", "h2").agg(F.min("id").alias("node"))
     # Equal sets: the smallest id stands for all.
     nodes = some.select("id", "n", "h1", "h2").distinct().join(keyed, ["n", "h1", "h2"]).select("id", "n", "node")
-    nodes = written(nodes, "nodes")
+    nodes = written(nodes, "nodes", outer=True)
     at_node = some.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     entries = at_node.select(F.col("id").alias("node"), F.explode("bands").alias("bucket"))
     hubs = entries.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter(F.col("hub") != F.col("most")).select("bucket", "hub")
@@ -278,7 +278,8 @@ def _labelled(source: DataFrame, k: int, percent: int, cell_nodes: int, cell_shi
         texts = _texts_of(source, pairs).select("id", "text", "cluster", "cc", "a", "b")
         more = texts.groupBy("cc", "a", "b").applyInArrow(_links(k, percent), "u long, v long")
         linked = components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), label="links")
-    linked = linked.withColumnRenamed("node", "__linked")
+    # What the result reads stays; the tables before it go.
+    linked = written(linked, "links", outer=True).withColumnRenamed("node", "__linked")
 
     of_id = nodes.groupBy("id").agg(F.min("node").alias("node"))
     label = of_id.join(linked, of_id["node"] == linked["__linked"], "left").select(F.col("id").alias("__node"), F.coalesce("component", "node").alias("component"))
@@ -286,3 +287,21 @@ def _labelled(source: DataFrame, k: int, percent: int, cell_nodes: int, cell_shi
     out = out.join(label, (out["doc_id"] == label["__node"]) & (out["n_shingles"] > 0), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END) AS h FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (SELECT u AS node, v AS reached FROM e UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.reached),
+c AS (SELECT node, least(node, min(reached)) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
+"""

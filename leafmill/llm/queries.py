@@ -21,6 +21,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op3, on pages with planted canonical links: there the components decide."""
+    pages = url_filter.planted_links(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return url_filter.url_filter(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_rules.host_rules(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -63,6 +69,7 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
+    "url_aliases": url_aliases,
 }
 
 ORACLE_SQL = {
@@ -70,4 +77,6 @@ ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.ORACLE,
     "op3_url_filter": url_filter.ORACLE,
     "op4_host_rules": host_rules.ORACLE,
+    "op9_near_dedup": near_dedup.ORACLE,
+    "url_aliases": url_filter.PLANTED_ORACLE,
 }

@@ -140,3 +140,28 @@ reach AS (
 SELECT page_id, host, path, rule, coalesce(says, CASE WHEN k IN (SELECT node FROM reach) THEN 'block' ELSE 'allow' END) AS verdict
 FROM q LEFT JOIN fit USING (page_id)
 """
+
+
+def planted_links(pages: DataFrame) -> DataFrame:
+    """pages with a canonical link to the page before in each run of five ids: chains for queries and tests of the components."""
+    before = pages.select((F.col("page_id") + 1).alias("__next"), F.col("url").alias("__before"))
+    linked = pages.join(before, F.col("page_id") == F.col("__next"), "left")
+    link = F.when((F.floor(F.col("page_id") / 5) == F.floor((F.col("page_id") - 1) / 5)) & F.col("__before").isNotNull(), F.concat(F.lit('<link rel="canonical" href="'), "__before", F.lit('">')))
+    return linked.withColumn("html", F.concat(F.coalesce(link, F.lit("")), F.coalesce("html", F.lit("")))).drop("__next", "__before")
+
+
+PLANTED_ORACLE = r"""
+WITH RECURSIVE p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+s AS (SELECT *, regexp_extract(r, '^[^/?#]*') AS h FROM p),
+q AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(r, length(h) + 1), '^[^?#]*') AS path,
+    CASE WHEN h <> '' THEN translate(regexp_extract(url, '^.*?://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(substr(r, length(h) + 1), '#.*', '') END AS k
+  FROM s),
+rules AS (SELECT * FROM (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')) AS t (says, rule)),
+split AS (SELECT says, rule, split_part(rule, '/', 1) AS rh, substr(rule, instr(rule, '/')) AS rp FROM rules),
+fit AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(says, length(rule)) AS says FROM q JOIN split ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+e AS (SELECT a.k AS u, b.k AS v FROM q a JOIN q b ON b.page_id = a.page_id - 1 AND a.page_id // 5 = b.page_id // 5 WHERE a.k IS NOT NULL AND b.k IS NOT NULL),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach AS (SELECT DISTINCT k AS node FROM q JOIN fit USING (page_id) WHERE says = 'block' AND k IN (SELECT u FROM b) UNION SELECT b.v FROM reach JOIN b ON b.u = reach.node)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN k IN (SELECT node FROM reach) THEN 'block' ELSE 'allow' END) AS verdict FROM q LEFT JOIN fit USING (page_id)
+"""
