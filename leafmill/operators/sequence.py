@@ -32,13 +32,14 @@ def profile_columns(df: DataFrame, key: str, place: str, value: str, share: floa
     return out.select(key, F.col("x").cast("long").alias("x"), F.col("width").cast("long").alias("width"), (F.row_number().over(Window.partitionBy(key).orderBy(F.desc("x"))) - 1).cast("long").alias("position"))
 
 
-def extent(df: DataFrame, key: str, place: str, value: str, share: float = 0.05) -> DataFrame:
-    """First and last place above share * mean, padded by 2 before and 3 behind; all places if none is above."""
+def extent(df: DataFrame, key: str, place: str, value: str, share: float = 0.05, whole: bool = True) -> DataFrame:
+    """First and last place above share * mean, padded by 2 before and 3 behind; if none is above, all places, or no row without `whole`."""
     stats = df.groupBy(key).agg(F.avg(value).alias("__mean"), (F.max(place) + 1).alias("__n"))
     hit = F.when(F.col(value) > F.col("__mean") * share, F.col(place))
     ends = df.join(stats, key).groupBy(key).agg(F.min(hit).alias("__a"), F.max(hit).alias("__b"), F.max("__n").alias("__n"))
     top, bottom = F.greatest(F.col("__a") - 2, F.lit(0)), F.least(F.col("__b") + 3, F.col("__n"))
     none = F.col("__a").isNull()
+    ends = ends if whole else ends.filter(~none)
     return ends.select(key, F.when(none, 0).otherwise(top).cast("long").alias("top"), F.when(none, F.col("__n")).otherwise(bottom).cast("long").alias("bottom"))
 
 
