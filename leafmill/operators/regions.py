@@ -61,6 +61,24 @@ def with_page_boxes(det: DataFrame, white: Column | None = None) -> DataFrame:
     }).drop("__outer", "__inner", "__kids")
 
 
+def with_warnings(det: DataFrame) -> DataFrame:
+    """Boxes of labels 0 and 1 with `warnings`: "partial overlap" for each box of label 0 that a box of label 1 touches and isn't inside of,
+    "orphan" for a box of label 1 in none, "no child" for a box of label 0 with none.
+
+    One window over a page's boxes, as in `with_page_boxes`. Boxes without a page, or without an edge, meet no other.
+    """
+    page = Window.partitionBy("page_index")
+    of = lambda label: F.collect_list(F.when((F.col("label") == label) & F.col("page_index").isNotNull(), F.struct(*BOX))).over(page)
+    rows = det.filter("label in (0, 1)").withColumns({"__outer": of(0), "__inner": of(1)})
+    inside = lambda a, b: F.coalesce((a["x1"] >= b["x1"]) & (a["y1"] >= b["y1"]) & (a["x2"] <= b["x2"]) & (a["y2"] <= b["y2"]), F.lit(False))
+    touch = lambda a, b: (a["x2"] >= b["x1"]) & (b["x2"] >= a["x1"]) & (a["y2"] >= b["y1"]) & (b["y2"] >= a["y1"])
+    me = {c: F.col(c) for c in BOX}
+    partial = F.array_repeat(F.lit("partial overlap"), F.size(F.filter("__outer", lambda p: touch(me, p) & ~inside(me, p))))
+    orphan = F.array_repeat(F.lit("orphan"), (~F.exists("__outer", lambda p: inside(me, p))).cast("int"))
+    alone = F.array_repeat(F.lit("no child"), (~F.exists("__inner", lambda c: inside(c, me))).cast("int"))
+    return rows.withColumn("warnings", F.when(F.col("label") == 1, F.concat(partial, orphan)).otherwise(alone)).drop("__outer", "__inner")
+
+
 def categorised(det: DataFrame, white: Column | None = None, keep_orphans: bool = True, include_free_text: bool = True) -> DataFrame:
     """Region id, page, label, box, background and number and area of children.
 

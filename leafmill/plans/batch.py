@@ -42,10 +42,7 @@ class Stages:
 
 def warnings(det: DataFrame) -> DataFrame:
     """(page_index, bubble_index, warning): partial overlaps, parents without children, orphans."""
-    partial = regions.partial_overlaps(det).select("p.page_index", F.col("c.bubble_index").alias("bubble_index"), F.lit("partial overlap").alias("warning"))
-    alone = det.filter("label = 0").join(regions.children(det).select("p.page_index", F.col("p.bubble_index").alias("bubble_index")).distinct(), ["page_index", "bubble_index"], "left_anti").select("page_index", "bubble_index", F.lit("no child").alias("warning"))
-    orphan = regions.orphans(det).select("page_index", "bubble_index", F.lit("orphan").alias("warning"))
-    return partial.unionByName(alone).unionByName(orphan)
+    return regions.with_warnings(det).select("page_index", "bubble_index", F.explode("warnings").alias("warning"))
 
 
 def process(det: DataFrame, readings: DataFrame, cache: DataFrame, responses: DataFrame, options: Options = Options()) -> Stages:

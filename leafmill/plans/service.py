@@ -11,7 +11,7 @@ from ..session import table
 from ..sources import writers
 from . import batch
 from .registry import query
-from .relations import CALLS_SQL, DET_SQL, calls, detections
+from .relations import CALLS_SQL, DET_SQL, calls, detections, line_items
 
 DET, CALLS = f"WITH {DET_SQL}", f"WITH {CALLS_SQL}"
 
@@ -198,7 +198,7 @@ def q_renderable_regions(spark, sf):
     """Regions with child boxes and a translation that isn't blank, on pages that no image replaces."""
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
     said = F.when(F.col("l_quantity") > 40, F.lit("  ")).when(F.col("l_quantity") > 10, F.date_format("l_shipdate", "yyyy-MM-dd"))
-    t = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page_index"), rank.alias("bubble_index"), said.alias("translated_text")).filter("translated_text is not null")
+    t = line_items(spark, sf).select(F.col("l_orderkey").alias("page_index"), rank.alias("bubble_index"), said.alias("translated_text")).filter("translated_text is not null")
     images = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("page_index"))
     drawn = t.join(images, "page_index", "left_semi").select("page_index", "bubble_index")
     return regions.renderable(_boxes(spark, sf), t, drawn, ["page_index", "bubble_index"]).select("page_index", "bubble_index", "translated_text")
@@ -219,7 +219,7 @@ SELECT page_index, x1, y1, round(margin, 6) AS margin, round(greatest(w - 2 * ma
 round(greatest((greatest(w - 2 * margin, 10) - 50) / 2 + margin, margin), 6) AS offset_x FROM m""")
 def q_text_canvas(spark, sf):
     """Canvas of each page's child boxes: margin, room, largest font, and where a text 50 wide starts."""
-    union = detections(spark, sf).filter("label = 1").groupBy("page_index").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    union = detections(spark, sf, numbered=False).filter("label = 1").groupBy("page_index").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     out = union.withColumns(raster.canvas(*(F.col(c) for c in geometry.BOX)))
     offset = raster.centred(F.col("room_width"), F.lit(50.0), F.col("margin"))
     return out.select("page_index", "x1", "y1", *[F.round(c, 6).alias(c) for c in ("margin", "room_width", "room_height", "most_font")], F.round(offset, 6).alias("offset_x"))
@@ -339,7 +339,7 @@ SELECT l_orderkey, coalesce(winner + 1, n) AS tries, winner IS NOT NULL AS succe
 def q_failover(spark, sf):
     """Attempts with one key after the other, as many as there are keys, until one succeeds."""
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
-    a = table(spark, sf, "lineitem").select("l_orderkey", rank.alias("turn"), (F.col("l_quantity") > 25).alias("ok"))
+    a = line_items(spark, sf).select("l_orderkey", rank.alias("turn"), (F.col("l_quantity") > 25).alias("ok"))
     return batching.failover(a, "l_orderkey", "turn", F.col("ok"), 1 + F.col("l_orderkey") % 4)
 
 
@@ -465,7 +465,7 @@ SELECT page_index, error_kind, CASE error_kind WHEN 'NoBubbles' THEN 'No bubbles
   WHEN 'RateLimited' THEN 'Rate limit exceeded for API key (retry after ' || best || 's)' END AS error FROM e""")
 def q_isolated_errors(spark, sf):
     """Pages with the first check that they fail: none is dropped."""
-    p = detections(spark, sf).groupBy("page_index").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    p = detections(spark, sf, numbered=False).groupBy("page_index").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
     checks = {
         "NoBubbles": (F.col("n") >= 3, errors.error_text("NoBubbles", threshold=F.lit(0.3), page_index=F.col("page_index"))),
         "AllKeysFailed": (F.col("best") >= 80, errors.error_text("AllKeysFailed", key_count=F.col("n"), attempts=F.col("best"))),

@@ -23,3 +23,8 @@ def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a table, by Spark's own statistics; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
