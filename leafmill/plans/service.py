@@ -11,7 +11,7 @@ from ..session import table
 from ..sources import writers
 from . import batch
 from .registry import query
-from .relations import CALLS_SQL, DET_SQL, calls, detections, line_items
+from .relations import CALLS_SQL, DET_SQL, calls, dealt, detections, line_items, page_parts
 
 DET, CALLS = f"WITH {DET_SQL}", f"WITH {CALLS_SQL}"
 
@@ -209,7 +209,7 @@ def q_cleaned_or_skipped(spark, sf):
     """Regions in and out of the valid set together, in the order of their ids."""
     d = detections(spark, sf).select("page_index", "bubble_index")
     valid = table(spark, sf, "orders").filter("o_totalprice > 150000").select(F.col("o_orderkey").alias("page_index"))
-    both = regions.cleaned_or_skipped(d, valid, ["page_index"])
+    both = regions.cleaned_or_skipped(d, dealt(valid, "page_index", page_parts(spark, sf)), ["page_index"])
     return both.withColumn("position", F.row_number().over(Window.partitionBy("page_index").orderBy("bubble_index")).cast("long"))
 
 
